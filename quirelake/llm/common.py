@@ -133,9 +133,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def space_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each row of a buffer: starts, ends, and the words before each row (rows + 1 values)."""
-    word = ~_SPACE[data]
+SPACED = ~_SPACE
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
+#: Digits, letters and whatever lies beyond ASCII.
+ALNUM = _ALNUM
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row of a buffer, by default [^\\x20\\x09-\\x0D]+: starts, ends, and the words before each row (rows + 1 values)."""
+    word = kind[data]
     n = len(data)
     edge = np.empty(n, bool)
     if n:
