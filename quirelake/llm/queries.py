@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, mixing, tokens, toxicity, warc
+from . import chat, decontam, exact, jaccard, mixing, pii, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    calls, results = chat.conversation_events(_read(spark, d, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.REPLY)
+
+
 def op2_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.warc_round_trip(_read(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -28,10 +33,22 @@ def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, d, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, d, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, d, "documents"), _read(spark, d, "benchmark")).drop("items")
 
 
+def op6_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(_read(spark, d, "documents"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.jaccard_classes(_read(spark, d, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, d, "documents"), _read(spark, d, "labels"))
 
@@ -45,13 +62,28 @@ def op10_token_output(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_decontamination, op8_toxicity, op9_mixing, op10_token_output)
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS5 = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_WORDS7 = rf"regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": """
+WITH c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
+n AS (SELECT conv_id, call_id, count(*) AS n FROM r GROUP BY ALL),
+k AS (SELECT conv_id, call_id, min(turn) AS t FROM c GROUP BY ALL),
+e AS (SELECT c.*, n.n, CASE WHEN length(text) < 20 OR length(text) > 20000 THEN ['bounds: prompt'] ELSE CAST([] AS VARCHAR[]) END
+  || CASE WHEN turn < 0 THEN ['bounds: turn'] ELSE CAST([] AS VARCHAR[]) END AS errors FROM c LEFT JOIN n USING (conv_id, call_id))
+SELECT conv_id, turn, 'call' AS kind, call_id, 'reply' AS name, CAST(0 AS BIGINT) AS depth, CASE WHEN len(errors) > 0 THEN 'invalid' WHEN n IS NULL THEN 'no result' ELSE 'ok' END AS status, errors,
+  '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"depth":0,"id":"' || call_id || '","name":"reply","type":"call"}' AS json FROM e
+UNION ALL
+SELECT r.conv_id, turn, 'result', call_id, CASE WHEN t IS NOT NULL THEN 'reply' END, CASE WHEN t IS NOT NULL THEN 1 END, CASE WHEN t IS NULL THEN 'orphan' ELSE 'ok' END, CAST([] AS VARCHAR[]),
+  '{"content":' || to_json(text) || ',"depth":' || CASE WHEN t IS NULL THEN 'null' ELSE '1' END || ',"id":"' || call_id || '","name":' || CASE WHEN t IS NULL THEN 'null' ELSE '"reply"' END || ',"type":"result"}' FROM r LEFT JOIN k USING (conv_id, call_id)""",
     "op2_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, upper(sha1(b)) AS h, min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p)
@@ -74,4 +106,28 @@ hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(k, k + n
 hi AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit JOIN win USING (n, g)) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, k, md5(b[k:k + 399]) AS h FROM d, unnest(range(1, octet_length(b) - 398)) AS r(k) WHERE octet_length(b) >= 400),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, k FROM w SEMI JOIN twice USING (h)),
+edge AS (SELECT doc_id, k, k > 400 + coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -400) AS fresh FROM s),
+run AS (SELECT doc_id, k, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM edge),
+span AS (SELECT doc_id, g, min(k) AS a, max(k) + 400 AS z FROM run GROUP BY doc_id, g),
+gap AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM span
+  UNION ALL SELECT doc_id, max(z), NULL FROM span GROUP BY doc_id UNION ALL SELECT doc_id, 1, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM span)),
+kept AS (SELECT doc_id, string_agg(hex(CASE WHEN z IS NULL THEN b[a:] ELSE b[a:z - 1] END), '' ORDER BY a) AS x FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""",
+    "op7_ngram_jaccard": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS7} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[k:k + 4]) AS h FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(k) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s AS a JOIN s AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
