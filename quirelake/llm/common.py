@@ -75,11 +75,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, q: int) -> np.ndarray:
-    out = np.full(n, np.uint64(q), np.uint64)
-    if n:
+    """q ** 0 .. q ** (n - 1); what a worker has made serves again."""
+    if q not in _powers or len(_powers[q]) < n:
+        out = np.full(max(n, 1 << 21), np.uint64(q), np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _powers[q] = np.multiply.accumulate(out)
+    return _powers[q][:n]
 
 
 class Rolling:
@@ -103,7 +108,7 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[: n + 1 - k]) * self.inverse[: n + 1 - k])
 
 
-def buffers(column, most: int = 16 << 20):
+def buffers(column, most: int = 2 << 20):
     """Of an Arrow string or binary array: (first row, last row, bytes as numpy, offsets into them), about `most` bytes at a time.
     Nulls are empty."""
     import pyarrow as pa
