@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_dir, whole
+from .common import cut, new_dir, whole
 
-#: Words whose ids a Python worker keeps (some 200 bytes each); when full, it starts anew.
-CACHE_WORDS = 400_000
+#: Pieces of text, and words in lower case, whose ids a Python worker keeps (some 200 bytes each); when full, each starts anew.
+PIECES, WORDS = 250_000, 400_000
 END_ID = 2
 _workers: dict = {}
 
 
+class _Pieces(dict):
+    """Ids of pieces, found when they are first asked for."""
+
+    def __init__(self, find) -> None:
+        super().__init__({"": b""})
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.find(piece)
+        return ids
+
+
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer that treats white space as a boundary.
 
@@ -30,33 +45,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, pieces: set[str]) -> None:
-        import numpy as np
-
-        pieces = list(pieces)
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            got = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array([-1 if x is None else x for x in got.word_ids], np.int64), np.arange(len(part)), "right") * 4
-            start = 0
-            for piece, end in zip(part, ends.tolist(), strict=True):
-                self.known[piece] = ids[start:end]
-                start = end
+        self.tokenize = self.model.model.tokenize
+        self.words: dict[str, bytes] = {}
+        self.marks = _Pieces(self.slow)
+        # Whether letters and marks are apart, case is dropped and the model takes bytes as characters; if not, pieces go to the tokenizer as they are.
+        parts = json.loads(self.model.to_str())
+        steps = [x["type"] for k in ("normalizer", "pre_tokenizer") for x in (parts[k] or {}).get("normalizers", (parts[k] or {}).get("pretokenizers", ()))]
+        self.known = _Pieces(self.fast if steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] else self.slow)
+        # Byte-level models write bytes as characters: those that print as themselves, the others from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def slow(self, piece: str) -> bytes:
+        return array("I", self.model.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def fast(self, piece: str) -> bytes:
+        """Most pieces are a word of Latin letters, perhaps with marks behind: the word is looked up in lower case or given to the model itself."""
+        word = piece.rstrip(string.punctuation)
+        low = word.lower()
+        ids = self.words.get(low)
+        if ids is None:
+            if not (word.isalpha() and low.isalpha() and max(low) < "\u0250"):
+                return self.slow(piece)
+            text = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
+            self.words[low] = ids = array("I", [x.id for x in self.tokenize(text)]).tobytes()
+        return ids + self.marks[piece[len(word) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.known)
-        self.learn(new)
+        if len(self.known) > PIECES:
+            self.known.clear()
+            self.known[""] = b""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.marks) > PIECES:
+            self.marks.clear()
+            self.marks[""] = b""
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, x.replace("\n", " ").split(" "))) for x in texts]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -69,7 +94,7 @@ def encoder(path: str) -> WordEncoder:
 def write_token_ids(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, partitions: int | None = None) -> None:
     """Writes ORC files of (doc_id, ids) to folder `to`: ids of the whole text, then end_id; files and rows in ascending id order.
 
-    Null texts count as empty (only end_id). Rows with equal ids are all written, in order of their texts; null ids come first. An empty
+    Null texts count as empty (only end_id). Rows with equal ids are all written, in order of a hash of their texts; null ids come first. An empty
     table gives a folder without rows. Other columns are ignored. Row indexes let readers skip by id; Bloom filters on ids answer point
     look-ups by stripe; ids are stored with integer run-length encoding by ORC's writer. Task attempts write to temporary names that the
     job's committer moves, so lost executors leave nothing behind.
@@ -77,7 +102,8 @@ def write_token_ids(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc
     import pyarrow as pa
 
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
-    spread = rows.repartitionByRange(partitions, "doc_id", "text") if partitions else rows.repartitionByRange("doc_id", "text")
+    keys = [F.col("doc_id"), F.xxhash64("text")]  # the hash parts rows that share an id; long texts would all be sampled
+    spread = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     tail = end_id.to_bytes(4, "little")
 
     def ids(batches):
@@ -93,7 +119,7 @@ def write_token_ids(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), values)], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = spread.sortWithinPartitions("doc_id", "text").mapInArrow(ids, f"doc_id {kind}, ids array<int>")
+    out = spread.sortWithinPartitions(*keys).mapInArrow(ids, f"doc_id {kind}, ids array<int>")
     (
         out.write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(32 << 20))
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(to)
@@ -121,7 +147,7 @@ def token_index(spark: SparkSession, at: str) -> DataFrame:
 
     rows = read_token_ids(spark, at).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    one = rows.mapInArrow(sums, f"doc_id {kind}, file string, block long, at long, n_tokens long, ids_crc32 long")
+    one = cut(rows.mapInArrow(sums, f"doc_id {kind}, file string, block long, at long, n_tokens long, ids_crc32 long"), "token-index")
     # Two levels of running sums: over files (few rows), then within each file; rows of a file keep their order.
     files = one.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("n"))
     before = files.select("file", (F.sum("n").over(Window.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("n")).alias("before"))
