@@ -108,7 +108,7 @@ def section_paths(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     head = F.col("kind") == "heading"
     for k in range(1, DEEPEST + 1):
         rows = rows.withColumn(f"h{k}", F.last(F.when(head & (F.col("level") == k), F.struct("seq", T.strip(F.col("text")).alias("t"))), ignorenulls=True).over(order))
-    alive = lambda k: F.when(F.col(f"h{k}").isNotNull() & F.coalesce(F.col(f"h{k}.seq") > F.greatest(F.lit(-1), *[F.coalesce(F.col(f"h{j}.seq"), F.lit(-1)) for j in range(1, k)]), F.lit(True)), F.col(f"h{k}.t"))
+    alive = lambda k: F.when(F.col(f"h{k}").isNotNull() & (F.col(f"h{k}.seq") > F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"h{j}.seq"), F.lit(-1)) for j in range(1, k)])), F.col(f"h{k}.t"))
     path = F.concat_ws(" > ", "title", *[alive(k) for k in range(1, DEEPEST + 1)])
     out = rows.withColumns({"section": F.sum(head.cast("int")).over(order), "section_path": path}).filter(~head)
     return out.drop("same", "nth", "title", *[f"h{k}" for k in range(1, DEEPEST + 1)])
