@@ -37,6 +37,21 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of a written table (compressed) up to which it may be broadcast; beyond, Spark shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def cut_small(df: DataFrame, what: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Like cut, for one side of a join: with a hint to broadcast it if what was written is no larger than `most` bytes."""
+    spark = df.sparkSession
+    at = new_dir(spark, what)
+    df.write.parquet(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    out = spark.read.schema(df.schema).parquet(at)
+    return F.broadcast(out) if size <= most else out
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII strings take the fast path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, cut
+from .common import Rolling, buffers, cut, cut_small
 
-LEAST, GRAM = 400, 32
+LEAST, GRAM = 400, 96
 #: Runs of one anchor beyond which they are dealt out by their inner parts; windows of such a part.
 CROWD, STRIDE = 256, 64
 #: Bytes of text of a suffix array, about.
@@ -67,48 +67,36 @@ def runs(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int =
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text ordered by their first `depth` bytes at least (prefix doubling from 7 bytes)."""
+    """Suffixes of text ordered by their first `depth` bytes at least: by 8 bytes, then prefix doubling of those whose order is open."""
     n = len(text)
     padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for j in range(7):
+    for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key)
     sorted_key = key[order]
-    rank[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-    length = 7
-    while length < depth and rank[order[-1]] + 1 < n:
-        # Only suffixes whose rank is shared are sorted again.
-        counts = np.bincount(rank)
-        starts = np.cumsum(counts) - counts
-        open_ = np.flatnonzero(counts[rank] > 1)
-        behind = np.minimum(open_ + length, n)
-        second = np.append(rank, -1)[behind] + 1
-        place = rank[open_]
-        sort = np.lexsort((second, place))
-        o, s, p = open_[sort], second[sort], place[sort]
-        # Ranks are positions of the first of equals; sparse ones keep order.
-        new_group = np.append(True, p[1:] != p[:-1])
-        fresh = new_group | np.append(True, s[1:] != s[:-1])
-        group_start = np.maximum.accumulate(np.where(new_group, np.arange(len(o)), 0))
-        slot = starts[p] + np.arange(len(o)) - group_start
-        order[slot] = o
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(o)), 0))
-        wide = starts[rank]
-        wide[o] = slot[head]
-        rank = _dense(wide, order)
+    fresh = np.append(True, sorted_key[1:] != sorted_key[:-1])
+    # A suffix's rank is the place of the first of its equals; open ones share it with others.
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) + 1
+    shared = ~(fresh & np.append(fresh[1:], True))
+    slots = np.flatnonzero(shared)
+    length = 8
+    while length < depth and len(slots):
+        at = order[slots]
+        behind = rank[np.minimum(at + length, n)]
+        place = rank[at]
+        key = place * (n + 2) + behind
+        sort = np.argsort(key)
+        at, key, place = at[sort], key[sort], place[sort]
+        order[slots] = at  # slots ascend as places do
+        fresh = np.append(True, key[1:] != key[:-1])
+        rank[at] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
+        slots = slots[~(fresh & np.append(fresh[1:], True))]
         length *= 2
     return order
 
 
-def _dense(wide: np.ndarray, order: np.ndarray) -> np.ndarray:
-    w = wide[order]
-    rank = np.empty(len(wide), np.int64)
-    rank[order] = np.cumsum(np.append(0, w[1:] != w[:-1]))
-    return rank
-
-
 def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each suffix by rank: whether it shares `least` bytes with the one before. Bytes 0 end texts; no prefix passes them.
 
@@ -137,6 +125,7 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray
         lo.append(np.array([starts[c]]))
         hi.append(np.array([starts[c] + counts[c] - 1]))
     lo, hi = np.concatenate(lo), np.concatenate(hi)
+    span = 1 << n.bit_length()
     # Intervals so far are of strings of 1 byte: their ends have a common prefix of 0 bytes with what follows.
     for _ in range(1, least):
         if not len(lo):
@@ -154,9 +143,8 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray
         if total:
             group = np.repeat(np.arange(len(wide)), wlens)
             idx = np.arange(total) - np.repeat(np.cumsum(wlens) - wlens, wlens) + np.repeat(wide, wlens)
-            c = before[idx]
-            sort = np.argsort(group * 256 + c, kind="stable")
-            idx, tag = idx[sort], (group * 256 + c)[sort]
+            tag = np.sort((group * 256 + before[idx]) * span + idx)  # by interval, character, rank
+            idx, tag = tag & (span - 1), tag >> n.bit_length()
             edge = np.flatnonzero(np.append(True, tag[1:] != tag[:-1]))
             stop = np.append(edge[1:], total) - 1
             some = before[idx[edge]] > 0
@@ -216,20 +204,20 @@ def _find_runs(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: int, stride: int) -> DataFrame:
-    """(anchor, d1, d2, a, b): windows a..b-1 of each chosen run that occur in another chosen run of its anchor, or elsewhere in itself."""
-    lists = chosen.groupBy("k", "k2").agg(F.collect_list(F.struct("anchor", "d1", "d2", "start", "n", "off", "many")).alias("runs"))  # of one text
-    texts = docs.join(lists, ["k", "k2"]).select("text", "runs")
+    """(run, a, b): windows a..b-1 of each chosen run that occur in another chosen run of its anchor, or elsewhere in itself."""
+    lists = chosen.groupBy("k", "k2").agg(F.collect_list(F.struct("run", "anchor", "start", "n", "off", "many")).alias("runs"))  # of one text
+    texts = docs.join(cut_small(lists, "lists"), ["k", "k2"]).select("text", "runs")
 
     def extract(batches) -> Iterator:
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
             for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
                 for r in found:
                     if r["many"] <= crowd:
                         piece = data[r["start"] : r["start"] + r["n"] + least - 1]
-                        out.append((r["anchor"], r["anchor"], r["d1"], r["d2"], 0, piece))
+                        out.append((r["anchor"], r["run"], 0, piece))
                         held += len(piece)
                         continue
                     # A crowd: windows are dealt out by where the anchor lies in them, a stride at a time, and by the bytes that all windows of a part share.
@@ -238,33 +226,28 @@ def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: i
                         if a >= b:
                             continue
                         lo, hi = r["start"] + r["off"] - part * stride, r["start"] + r["off"] - (part + 1) * stride + 1 + least
-                        core = xxhash.xxh3_64_intdigest(data[max(lo, 0) : hi], part) - (1 << 63)
+                        core = xxhash.xxh3_64_intdigest(data[lo:hi], part) - (1 << 63)
                         piece = data[r["start"] + a : r["start"] + b + least - 1]
-                        out.append((core, r["anchor"], r["d1"], r["d2"], a, piece))
+                        out.append((core, r["run"], a, piece))
                         held += len(piece)
-                    if held > 4 << 20:
-                        yield batch_of(out)
-                        out, held = [], 0
                 if held > 4 << 20:
                     yield batch_of(out)
                     out, held = [], 0
-            if out:
-                yield batch_of(out)
+        if out:
+            yield batch_of(out)
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.int32(), pa.binary()], strict=True)], ["part", "anchor", "d1", "d2", "a", "piece"])
-
-    pieces = texts.mapInArrow(extract, "part long, anchor long, d1 long, d2 long, a int, piece binary")
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["part", "run", "a", "piece"])
 
-    names = ["anchor", "d1", "d2", "a", "b"]
+    pieces = texts.select("text", "runs").mapInArrow(extract, "part long, run long, a int, piece binary")
 
     def found(rows: list[tuple], flags: list[np.ndarray]):
-        got = [(*r[1:4], r[4] + s, r[4] + e) for r, f in zip(rows, flags, strict=True) for s, e in zip(*map(np.ndarray.tolist, _spans(f)), strict=True)]
-        columns = list(zip(*got, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names)
+        got = [(r[1], r[2] + s, r[2] + e) for r, f in zip(rows, flags, strict=True) for s, e in zip(*map(np.ndarray.tolist, _spans(f)), strict=True)]
+        columns = list(zip(*got, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["run", "a", "b"])
 
     def windows(rows: list[tuple]) -> list[np.ndarray]:
-        return [Rolling(np.frombuffer(r[5], np.uint8)).windows(least) for r in rows]
+        return [Rolling(np.frombuffer(r[3], np.uint8)).windows(least) for r in rows]
 
     def search(batches) -> Iterator:
         held: list[tuple] = []  # whole parts, as many as fit a suffix array
@@ -276,13 +259,13 @@ def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: i
         def close():
             nonlocal held, group, large, hashes, size, group_size
             if large:
-                large += [r[:5] for r in group]
+                large += [r[:3] for r in group]
                 hashes += windows(group)
                 _, back, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
                 yield found(large, np.split(counts[back] > 1, np.cumsum([len(x) for x in hashes])[:-1]))
             else:
                 if held and size + group_size > BATCH_BYTES:
-                    yield found(held, repeated_windows([r[5] for r in held], least))
+                    yield found(held, repeated_windows([r[3] for r in held], least))
                     held, size = [], 0
                 held += group
                 size += group_size
@@ -293,17 +276,17 @@ def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: i
                 if group and row[0] != group[0][0]:
                     yield from close()
                 group.append(row)
-                group_size += len(row[5])
+                group_size += len(row[3])
                 if group_size > 2 * BATCH_BYTES and len(group) > 1:
-                    large += [r[:5] for r in group[:-1]]
+                    large += [r[:3] for r in group[:-1]]
                     hashes += windows(group[:-1])
-                    group, group_size = group[-1:], len(row[5])
+                    group, group_size = group[-1:], len(row[3])
         if group:
             yield from close()
         if held:
-            yield found(held, repeated_windows([r[5] for r in held], least))
+            yield found(held, repeated_windows([r[3] for r in held], least))
 
-    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(search, "anchor long, d1 long, d2 long, a int, b int")
+    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(search, "run long, a int, b int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, stride: int = STRIDE, keep_text: bool = False) -> DataFrame:
@@ -318,13 +301,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = found.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "k2", "start", "n", "off")).alias("one"))
     kinds = cut(kinds, "run-kinds")
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.max("copies").alias("most")).filter("many > 1").select("anchor", "many")
-    chosen = cut(kinds.join(shared, "anchor").select("anchor", "d1", "d2", "many", "one.*"), "shared-runs")
-    partial = _compare(chosen, base, least, gram, crowd, stride) if not chosen.isEmpty() else None
+    chosen = cut(kinds.join(shared, "anchor").select(F.monotonically_increasing_id().alias("run"), "anchor", "d1", "d2", "many", "one.*"), "shared-runs")
+    partial = _compare(chosen, base, least, gram, crowd, stride).join(chosen.select("run", "anchor", "d1", "d2"), "run").drop("run") if not chosen.isEmpty() else None
     whole = kinds.filter("copies > 1").select("anchor", "d1", "d2", F.lit(0).alias("a"), F.col("one.n").alias("b"))
     spans = whole if partial is None else whole.unionByName(partial)
     marks = cut(spans.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "marks")  # at most a run's windows
     hits = found.join(marks, ["anchor", "d1", "d2"]).select("k", "k2", "start", "spans")
-    hits = hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits"))  # of one text
+    hits = cut_small(hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits")), "hits")  # of one text
     # Rows that repeat an id and text have the hits of each; their spans coincide.
     both = base.join(hits, ["k", "k2"], "left").select("id", "text", "hits")
     kind = base.schema["id"].dataType.simpleString()
