@@ -63,9 +63,14 @@ def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+def nfkc(c: Column) -> Column:
+    """Unicode form NFKC, for which Spark has no function: Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return run(c)
 
 
 def unicode_normalise(c: Column) -> Column:

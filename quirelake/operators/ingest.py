@@ -134,16 +134,19 @@ def units(blocks: DataFrame) -> DataFrame:
 
 
 def pack(parts: Column, budget: Column) -> Column:
-    """Texts packed in order into pieces of at most `budget` estimated tokens; a text that is too large is cut at sentences, a sentence never."""
+    """Texts packed in order into pieces of at most `budget` estimated tokens. A text that is too large stands alone, cut at sentences; a sentence never is."""
     tokens = T.token_estimate
-    fine = F.flatten(F.transform(parts, lambda p: F.when(tokens(p) <= budget, F.array(F.struct(p.alias("t"), F.lit("\n\n").alias("gap")))).otherwise(F.transform(T.sentences(p), lambda s, i: F.struct(s.alias("t"), F.when(i == 0, "\n\n").otherwise(" ").alias("gap"))))))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+    one = lambda t, gap, own: F.struct(t.alias("t"), F.lit(gap).alias("gap"), own.alias("own"))
+    # own tells the sentences of a large text (its number) from whole texts (-1); pieces don't mix them.
+    fine = F.flatten(F.transform(parts, lambda p, i: F.when(tokens(p) <= budget, F.array(one(p, "\n\n", F.lit(-1)))).otherwise(F.transform(T.sentences(p), lambda s: one(s, " ", i)))))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"), F.lit(-1).alias("own"))
 
     def step(acc: Column, x: Column) -> Column:
         n = tokens(x["t"])
-        full = (acc["n"] > 0) & (acc["n"] + n > budget)
-        begun = F.struct(F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), x["t"].alias("now"), n.alias("n"))
-        more = F.struct(acc["done"].alias("done"), F.when(acc["now"] == "", x["t"]).otherwise(F.concat(acc["now"], x["gap"], x["t"])).alias("now"), (acc["n"] + n).alias("n"))
+        fresh = acc["now"] == ""
+        full = ~fresh & ((acc["n"] + n > budget) | (acc["own"] != x["own"]))
+        begun = F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), x["t"].alias("now"), n.alias("n"), x["own"].alias("own"))
+        more = F.struct(acc["done"].alias("done"), F.when(fresh, x["t"]).otherwise(F.concat(acc["now"], x["gap"], x["t"])).alias("now"), (acc["n"] + n).alias("n"), x["own"].alias("own"))
         return F.when(full, begun).otherwise(more)
 
     return F.aggregate(fine, zero, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
