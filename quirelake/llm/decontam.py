@@ -59,7 +59,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     windows = cut(item_windows(items, item_col, item_text, window), "item-windows")
     prints = (
-        windows.filter(F.col("n") == window).select(F.explode(winnow(gram_hashes(F.split("win", " "), gram), window - gram + 1)).alias("h")).distinct()
+        windows.filter(F.col("n") == window).select(F.explode(winnow(gram_hashes(F.split(F.lower("win"), " "), gram), window - gram + 1)).alias("h")).distinct()
     )
     prints = cut(prints, "fingerprints")
     short = sorted(r[0] for r in windows.filter(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 values
@@ -68,14 +68,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     number = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(0)) if number else F.xxhash64(id_col)
     base = docs.select(F.col(id_col).alias("id"), k.alias("k"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    # Case-folding of whole texts may merge more than A-Z; that only adds candidates, which the comparison below drops.
+    # Fingerprints are of texts in lower case, on both sides. That merges more than A-Z and only adds candidates, which the comparison below drops.
     loose = base.select("k", "t", words(F.lower(whole(F.col("text")))).alias("w"))
     hits = None
     if n_prints:
         every = loose.select("k", "t", F.explode(winnow(gram_hashes(F.col("w"), gram), window - gram + 1)).alias("h"))
         hits = every.join(_bounded(prints, n_prints), "h", "left_semi").select("k", "t")
     for n in short:
-        mine = windows.filter(F.col("n") == n).select(F.explode(gram_hashes(F.split("win", " "), n)).alias("h")).distinct()
+        mine = windows.filter(F.col("n") == n).select(F.explode(gram_hashes(F.split(F.lower("win"), " "), n)).alias("h")).distinct()
         more = loose.select("k", "t", F.explode(F.array_distinct(gram_hashes(F.col("w"), n))).alias("h")).join(_bounded(mine, n_windows), "h", "left_semi").select("k", "t")
         hits = more if hits is None else hits.union(more)
     counted = base.select("id", "k", "t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
