@@ -99,7 +99,7 @@ def write_warc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str
 
     def write(batches) -> Iterator:
         fs, root = filesystem(to)
-        temp = f"{root}/_temporary/{job}/{uuid.uuid4().hex}"
+        temp = f"{root}/_temporary-{job}/{uuid.uuid4().hex}"
         files: list[tuple] = []
         out, size, n, sha = None, 0, 0, None
         shard = mark = known = None
@@ -145,8 +145,8 @@ def write_warc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str
     for r in sorted(done, key=lambda r: r["name"]):
         fs.move(r["temp"], r["name"])
         manifest.append({"file": r["name"].removeprefix(f"{root}/"), "records": r["records"], "bytes": r["bytes"], "sha256": r["sha256"]})
-    if fs.get_file_info(f"{root}/_temporary/{job}").type.name == "Directory":
-        fs.delete_dir(f"{root}/_temporary/{job}")
+    if fs.get_file_info(f"{root}/_temporary-{job}").type.name == "Directory":
+        fs.delete_dir(f"{root}/_temporary-{job}")
     with fs.open_output_stream(f"{root}/_manifest.tmp") as f:
         f.write(json.dumps({"files": manifest}, indent=1).encode())
     fs.move(f"{root}/_manifest.tmp", f"{root}/manifest.json")
