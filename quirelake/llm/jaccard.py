@@ -15,18 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE_FOLDED, Rolling, buffers, cut, mix, words_in
+from .common import TABLE_FOLDED, Rolling, buffers, cut, cut_small, mix, release, words_in
 from .graph import components
 
 GRAM, PERCENT = 5, 75
-#: Counters of the sketch, and the rows they travel in.
-COUNTERS, SLICES = 1 << 20, 64
+#: Counters of the sketch (a byte each where it is broadcast), the bits of a hash that don't tell them, and the rows they travel in.
+COUNTERS, BELOW, SLICES = 1 << 23, np.uint64(41), 64
 #: Bytes of postings in a bucket, about; pairs of one node that one task verifies at most.
 BUCKET_BYTES, SALTED = 6 << 20, 512
-#: Nodes up to which their ids are broadcast (8 bytes each) when their texts are fetched.
+#: Ids up to which they are broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
-#: Groups up to this size are paired in full at once; larger ones start from one node's pairs, then those that are not yet linked are compared.
-SMALL = 3
+#: Groups up to this size are paired in full at once; larger ones start from the pairs of a few nodes (HUBS), then those that are not yet linked are compared.
+SMALL, HUBS = 3, 3
 _POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
@@ -80,13 +80,14 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFra
             for a, b, data, offsets in buffers(batch.column(1)):
                 sets = shingle_sets(data, offsets, gram)
                 some = True
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                np.add.at(sketch, (np.concatenate(sets) >> BELOW).astype(np.int64), np.uint32(1))
                 n = [len(x) for x in sets]
                 nodes = [node_of(x) if len(x) else None for x in sets]
                 k = b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if some:
-            parts = np.array_split(sketch, SLICES)
+            # What a task counts beyond 255 tells no more: the sketch only orders shingles.
+            parts = np.array_split(np.minimum(sketch, 255).astype(np.uint8), SLICES)
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
 
     names = ["id", "n", "node", "slice", "counts"]
@@ -104,7 +105,7 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(c, np.uint32).astype(np.uint64)
+                got = np.frombuffer(c, np.uint8).astype(np.uint64)
                 sums[s] = sums[s] + got if s in sums else got
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.ceil(np.log2(x + np.uint64(1))).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["slice", "logs"])
 
@@ -113,10 +114,12 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, text_col: str, gram: int, percent: int, logs: np.ndarray, buckets: int) -> DataFrame:
-    """(key, members): the distinct sets of nodes that share a prefix shingle, as packed (node, size), sizes ascending."""
+    """(key, n, members, tokens): sets of nodes that share prefix shingles of a bucket, as packed (node, size, at), sizes ascending; and how many they share.
+    at is the place of the first of these shingles in the node's order."""
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def post(batches) -> Iterator:
+        release()
         ranks = shared.value
         # Counters that all documents fill alike tell nothing; only those well above are held to be frequent.
         common = int(np.median(ranks)) + 2
@@ -125,7 +128,7 @@ def _groups(docs: DataFrame, text_col: str, gram: int, percent: int, logs: np.nd
                 sets = [x for x in shingle_sets(data, offsets, gram) if len(x)]
                 out = []
                 for x in sets:
-                    level = ranks[(x >> np.uint64(44)).astype(np.int64)]
+                    level = ranks[(x >> BELOW).astype(np.int64)]
                     order = np.lexsort((x, np.where(level < common, 0, level)))
                     size = len(x)
                     keep = size - needed(size, percent) + 1
@@ -152,36 +155,38 @@ def _groups(docs: DataFrame, text_col: str, gram: int, percent: int, logs: np.nd
             starts = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
             ends = np.append(starts[1:], len(rows))
             size, at, node = rows["size"].astype(np.int64), rows["at"].astype(np.int64), rows["node"]
-            done: set[bytes] = set()
-            # Pairs, all at once: length filter, then positional filter.
-            two = starts[ends - starts == 2]
-            a, b = two, two + 1
-            ok = 100 * size[a] >= percent * size[b]
-            rest = np.minimum(at[a], at[b]) + 1 + np.minimum(size[a] - at[a] - 1, size[b] - at[b] - 1)
-            a = a[ok & (rest >= overlap(size[a], size[b], percent))]
-            pairs = np.unique(np.stack([node[a], size[a], node[a + 1], size[a + 1]], axis=1), axis=0) if len(a) else np.zeros((0, 4), np.int64)
-            for x in pairs:
-                yield x.reshape(2, 2)
+            # Pairs, all at once.
+            a = starts[ends - starts == 2]
+            pairs = np.stack([node[a], size[a], node[a + 1], size[a + 1]], axis=1)
+            if len(a):
+                pairs, back, counts = np.unique(pairs, axis=0, return_inverse=True, return_counts=True)
+                least = np.full((len(pairs), 2), 1 << 40)
+                np.minimum.at(least, back.ravel(), np.stack([at[a], at[a + 1]], axis=1))
+                for x, y, n in zip(pairs, least, counts.tolist(), strict=True):
+                    yield np.insert(x, [2, 4], y).reshape(2, 3), n
+            larger: dict[bytes, list] = {}
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                members = np.stack([node[s:e], size[s:e]], axis=1)
-                key = xxhash.xxh3_128_digest(members.tobytes())
-                if key not in done:
-                    done.add(key)
-                    yield from _by_length(members, percent)
+                members = np.stack([node[s:e], size[s:e], at[s:e]], axis=1)
+                same = larger.setdefault(xxhash.xxh3_128_digest(node[s:e].tobytes()), [members, 0])
+                np.minimum(same[0][:, 2], members[:, 2], out=same[0][:, 2])
+                same[1] += 1
+            for members, n in larger.values():
+                for part in _by_length(members, percent):
+                    yield part, n
 
         now, parts = None, []
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, int]] = []
 
         def flush():
-            keys = [xxhash.xxh3_64_intdigest(m.tobytes()) - (1 << 63) for m in held]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(m) for m in held], pa.int32()), pa.array([m.astype("<i8").tobytes() for m in held], pa.binary())], ["key", "n", "members"])
+            keys = [xxhash.xxh3_64_intdigest(m.tobytes(), now) - (1 << 63) for m, _ in held]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(m) for m, _ in held], pa.int32()), pa.array([n for _, n in held], pa.int64()), pa.array([m.astype("<i8").tobytes() for m, _ in held], pa.binary())], ["key", "n", "tokens", "members"])
 
         for batch in batches:
             for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now:
                     for m in of(parts) if parts else ():
                         held.append(m)
-                        if len(held) >= 2000 or m.nbytes > 1 << 20:
+                        if len(held) >= 2000 or m[0].nbytes > 1 << 20:
                             yield flush()
                             held.clear()
                     now, parts = bucket, []
@@ -195,8 +200,8 @@ def _groups(docs: DataFrame, text_col: str, gram: int, percent: int, logs: np.nd
             yield flush()
 
     packed = docs.select(F.col(text_col)).mapInArrow(post, "bucket int, rows binary")
-    found = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(group, "key long, n int, members binary")
-    return cut(found.groupBy("key", "n").agg(F.first("members").alias("members")), "groups")
+    found = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(group, "key long, n int, tokens long, members binary")
+    return cut(found, "groups")
 
 
 def _by_length(members: np.ndarray, percent: int) -> Iterator[np.ndarray]:
@@ -208,107 +213,155 @@ def _by_length(members: np.ndarray, percent: int) -> Iterator[np.ndarray]:
             yield part
 
 
-def _pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of groups: all of small ones; of larger ones each member with that of the least node hash."""
+def _members(groups: DataFrame) -> DataFrame:
+    """(key, tokens, node, size, at) of larger groups, and central: how many prefix shingles a node shares in all of them."""
 
-    def run(batches) -> Iterator:
+    def spread(batches) -> Iterator:
         for batch in batches:
-            got: list[np.ndarray] = []
-            for data in batch.column(0).to_pylist():
-                m = np.frombuffer(data, "<i8").reshape(-1, 2)
-                if len(m) <= SMALL:
-                    i, j = np.triu_indices(len(m), 1)
-                else:
-                    hub = int(np.argmin(m[:, 0]))
-                    j = np.delete(np.arange(len(m)), hub)
-                    i = np.full(len(j), hub)
-                lo, hi = np.minimum(m[i, 1], m[j, 1]), np.maximum(m[i, 1], m[j, 1])
-                ok = 100 * lo >= percent * hi
-                got.append(np.stack([np.minimum(m[i, 0], m[j, 0]), np.maximum(m[i, 0], m[j, 0])], axis=1)[ok])
-            if got:
-                both = np.unique(np.concatenate(got), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            for key, tokens, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = np.frombuffer(data, "<i8").reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), key)), pa.array(np.full(len(m), tokens)), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(3))], ["key", "tokens", "node", "size", "at"])
 
-    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+    rows = cut(groups.filter(F.col("n") > SMALL).select("key", "tokens", "members").mapInArrow(spread, "key long, tokens long, node long, size long, at long"), "members")
+    return cut(rows.join(rows.groupBy("node").agg(F.sum("tokens").alias("central")), "node"), "members")
 
 
-def _cross_pairs(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups' members whose components differ so far; members of one component need no more pairs."""
+def _pairs(groups: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b, need, shared) of small groups with what they share there; and those that may link, with others (a, b): of larger groups each member
+    with the HUBS members that share most with all, which are likeliest to link.
 
-    def spread(batches) -> Iterator:
-        for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(data, "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), key)), pa.array(np.ascontiguousarray(m[:, 0])), pa.array(np.ascontiguousarray(m[:, 1]))], ["key", "node", "size"])
+    Positional filter: the first shingle that two linking sets share lies so early in both that enough of each is left (first). Over the whole prefix: sets that link share at least overlap - (size - prefix length of the larger) shingles in their prefixes. What a
+    pair shares is counted in small groups; in larger ones it is at most what either node has there."""
 
-    rows = groups.filter(F.col("n") > SMALL).select("key", "members").mapInArrow(spread, "key long, node long, size long")
-    known = rows.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("label"))
+    def run(batches) -> Iterator:
+        for batch in batches:
+            got: list[np.ndarray] = []
+            for data, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m = np.frombuffer(data, "<i8").reshape(-1, 3)
+                i, j = np.triu_indices(len(m), 1)
+                swap = m[i, 0] > m[j, 0]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                lo, hi = np.minimum(m[i, 1], m[j, 1]), np.maximum(m[i, 1], m[j, 1])
+                ok = 100 * lo >= percent * hi
+                both = overlap(lo, hi, percent)
+                first = (m[i, 2] <= m[i, 1] - both) & (m[j, 2] <= m[j, 1] - both)
+                got.append(np.stack([m[i, 0], m[j, 0], both - needed(hi, percent) + 1, np.full(len(i), tokens), first], axis=1)[ok])
+            if got:
+                rows = np.concatenate(got)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5)], ["a", "b", "need", "shared", "first"])
+
+    small = groups.filter(F.col("n") <= SMALL).select("members", "tokens").mapInArrow(run, "a long, b long, need long, shared long, first long")
+    found = cut(small.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"), F.max("first").alias("first")), "candidates")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("central", "node", "size", "at")), asc=False), 1, HUBS)
+    # The best of a group from the best of its parts: partial sums keep a row of each.
+    part = members.groupBy("key", F.pmod("node", F.lit(64)).alias("part")).agg(F.max(F.struct("central", "node", "size", "at")).alias("top"))
+    hubs = part.select("key", "top.*").groupBy("key").agg(best.alias("hubs"))
+    stars = members.join(hubs, "key").select("node", "size", "at", "central", F.explode("hubs").alias("h")).filter("node <> h.node")
+    lo, hi = F.least("size", "h.size"), F.greatest("size", "h.size")
+    up = lambda x, by: -F.floor(-(x) / by)
+    both = up(percent * (lo + hi), 100 + percent)
+    stars = stars.filter((100 * lo >= percent * hi) & (F.col("at") <= F.col("size") - both) & (F.col("h.at") <= F.col("h.size") - both))
+    stars = stars.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), (both - up(hi * percent, 100) + 1).cast("long").alias("need"), F.least("central", "h.central").alias("most")).distinct()
+    return found, _enough(stars, found).union(_within(found, members)).distinct()
+
+
+def _enough(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b, need, most) of larger groups that may share enough, counting what they share in small ones."""
+    return pairs.join(found.select("a", "b", "shared"), ["a", "b"], "left").filter(F.coalesce("shared", F.lit(0)) + F.col("most") >= F.col("need")).select("a", "b")
+
+
+def _within(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of small groups that may share enough, counting what they may share in larger ones."""
+    more = cut_small(members.select("node", "central").distinct(), "in-larger")
+    early = found.filter(F.col("first") == 1)
+    unsure = early.filter("shared < need")
+    for k in ("a", "b"):
+        unsure = unsure.join(more.select(F.col("node").alias(k), F.col("central").alias(f"more_{k}")), k)
+    unsure = unsure.filter(F.col("shared") + F.least("more_a", "more_b") >= F.col("need"))
+    return early.filter("shared >= need").select("a", "b").union(unsure.select("a", "b"))
+
+
+def _cross_pairs(members: DataFrame, candidates: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of larger groups' members whose components differ so far (members of one component need no more pairs), whose first common shingle may be among
+    those of the group, and that may share enough."""
+    known = members.join(labels, "node", "left").select("key", "node", "size", "at", "central", F.coalesce("component", "node").alias("label"))
     known = cut(known, "labelled")
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
 
     def cross(batches) -> Iterator:
         def of(m: np.ndarray) -> Iterator:
-            m = m[np.argsort(m[:, 1], kind="stable")]
-            low = np.searchsorted(m[:, 1], needed(m[:, 1], percent))
+            m = m[np.argsort(m[:, 2], kind="stable")]
+            low = np.searchsorted(m[:, 2], needed(m[:, 2], percent))
             for j in range(1, len(m)):  # members ascending by size, each with those before it that are long enough and elsewhere
                 before = m[low[j] : j]
-                before = before[before[:, 2] != m[j, 2]]
-                if len(before):
-                    yield np.stack([np.minimum(before[:, 0], m[j, 0]), np.maximum(before[:, 0], m[j, 0])], axis=1)
+                both = overlap(before[:, 2], m[j, 2], percent)
+                good = (before[:, 5] != m[j, 5]) & (before[:, 3] <= before[:, 2] - both) & (m[j, 3] <= m[j, 2] - both)
+                if good.any():
+                    before, both = before[good], both[good]
+                    yield np.stack([np.minimum(before[:, 1], m[j, 1]), np.maximum(before[:, 1], m[j, 1]), both - needed(m[j, 2], percent) + 1, np.minimum(before[:, 4], m[j, 4])], axis=1)
 
         def out(got: list[np.ndarray]):
-            both = np.unique(np.concatenate(got), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+            rows = np.unique(np.concatenate(got), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["a", "b", "need", "most"])
 
         key, held, got, n = None, [], [], 0
+
+        def close():
+            nonlocal got, n
+            for p in of(np.concatenate(held)) if held else ():
+                got.append(p)
+                n += len(p)
+                if n > 500_000:
+                    yield out(got)
+                    got, n = [], 0
+
         for batch in batches:
             table = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            firsts = np.flatnonzero(np.diff(table[:, 0], prepend=table[0, 0] - 1)) if len(table) else []
+            firsts = np.flatnonzero(np.append(True, table[1:, 0] != table[:-1, 0])) if len(table) else []
             for x in np.split(table, firsts[1:]) if len(table) else ():
                 if x[0, 0] != key:
-                    for p in of(np.concatenate(held)[:, 1:]) if held else ():
-                        got.append(p)
-                        n += len(p)
-                        if n > 200_000:
-                            yield out(got)
-                            got, n = [], 0
+                    yield from close()
                     key, held = x[0, 0], []
                 held.append(x)
-        for p in of(np.concatenate(held)[:, 1:]) if held else ():
-            got.append(p)
-            n += len(p)
-            if n > 200_000:
-                yield out(got)
-                got, n = [], 0
+        yield from close()
         if got:
             yield out(got)
 
     dealt = known.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "node", "size", "label").mapInArrow(cross, "a long, b long").distinct()
+    found = dealt.select("key", "node", "size", "at", "central", "label").mapInArrow(cross, "a long, b long, need long, most long").distinct()
+    return _enough(found, candidates)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, gram: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link. Each pair is compared once; a set travels once to each task that needs it, not once per pair."""
+    """Those of pairs (a, b) whose sets link. Each pair is compared once; sets are made where their texts lie and go straight to the tasks that compare them:
+    b's to their pairs, a's once to each task."""
     # A node with many pairs is dealt to several tasks.
-    parts = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / SALTED), F.lit(1)))
     per_node = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / SALTED), F.lit(1)))
     dealt = cut(pairs.join(per_node, "a").select("a", "b", parts.cast("int").alias("salt")), "dealt")
-    wanted = dealt.select(F.col("a").alias("node")).union(dealt.select(F.col("b").alias("node"))).distinct()
-    chosen = cut(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").select("node", "text")
+    to = F.struct("a", "salt")
+    wanted = dealt.select(F.col("b").alias("node"), to.alias("to")).union(dealt.select(F.col("a").alias("node"), to.alias("to")).distinct())
+    wanted = wanted.groupBy("node").agg(F.collect_list("to").alias("to"))
+    chosen = nodes.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(cut_small(chosen, "chosen"), "id").select("node", "text", "to")
 
     def sets(batches) -> Iterator:
         for batch in batches:
-            for a, b, data, offsets in buffers(batch.column(1)):
-                got = shingle_sets(data, offsets, gram)
-                mine = [node_of(x) if len(x) else None for x in got]
-                keep = [i for i, (x, y) in enumerate(zip(mine, batch.column(0).slice(a, b - a).to_pylist(), strict=True)) if x == y]  # rows that repeat an id may hold other texts
-                yield pa.RecordBatch.from_arrays([pa.array([mine[i] for i in keep], pa.int64()), pa.array([got[i].tobytes() for i in keep], pa.binary())], ["node", "tokens"])
-
-    tokens = cut(texts.mapInArrow(sets, "node long, tokens binary"), "sets")
-    left = dealt.select("a", "salt").distinct().join(tokens.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
-    right = dealt.join(tokens.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "tokens")
+            for first, last, data, offsets in buffers(batch.column(1)):
+                rows, held = [], 0
+                for tokens, node, to in zip(shingle_sets(data, offsets, gram), batch.column(0).slice(first, last - first).to_pylist(), batch.column(2).slice(first, last - first).to_pylist(), strict=True):
+                    if len(tokens) and node_of(tokens) == node:  # rows that repeat an id may hold other texts
+                        packed = tokens.tobytes()
+                        rows += [(x["a"], x["salt"], None if x["a"] == node else node, packed) for x in to]
+                        held += len(packed) * len(to)
+                    if held > 8 << 20:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["a", "salt", "b", "tokens"])
 
     def check(batches) -> Iterator:
         key, own = None, None
@@ -318,13 +371,12 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
                 if b is None:
                     key, own = a, np.frombuffer(t, np.uint64)
                     continue
-                other = np.frombuffer(t, np.uint64)
-                if a == key and _linked(own, other, percent):
+                if a == key and _linked(own, np.frombuffer(t, np.uint64), percent):
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    both = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(check, "a long, b long")
+    both = texts.mapInArrow(sets, "a long, salt int, b long, tokens binary").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -355,10 +407,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     buckets = max(8, -(-total * (100 - percent) // 100 * _POST.itemsize // BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = _groups(docs, text_col, gram, percent, _sketch(profiles), buckets)
-    first = cut(_pairs(groups, percent), "pairs")
+    larger = _members(groups)
+    candidates, first = _pairs(groups, larger, percent)
+    first = cut(first, "pairs")
     links = cut(verify(first, docs, nodes, id_col, text_col, gram, percent), "links")
     labels = cut(components(links), "labels")
-    second = cut(_cross_pairs(groups, labels, percent).join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    second = cut(_cross_pairs(larger, candidates, labels, percent).join(first, ["a", "b"], "left_anti"), "cross-pairs")
     if not second.isEmpty():
         more = cut(verify(second, docs, nodes, id_col, text_col, gram, percent), "more-links")
         if not more.isEmpty():
