@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 import numpy as np
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
 
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='quirelake-')}"
+        own = tempfile.mkdtemp(prefix="quirelake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -38,7 +42,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 
 #: Bytes of a written table (compressed) up to which it may be broadcast; beyond, Spark shuffles.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def cut_small(df: DataFrame, what: str, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -67,6 +71,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def release() -> None:
+    """Gives what a reused Python worker has freed since back to the system."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---------------------------------------------------------------- byte buffers (numpy)
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
