@@ -559,6 +559,12 @@ def turn_plan(spark, d):
     return G.plan_turns(V.turns(spark, d), topics=TOPICS).withColumn("expansions", F.array_join("expansions", ";"))
 
 
+@query(None)
+def lookup_replay(spark, d):
+    rules = LOOKUP | {"source": [*LOOKUP["source"], "in nicht einachie", "that"]}
+    return G.lookup_replay(V.turns(spark, d), rules, PHRASES, CATALOG).select("conv_id", "turn", "intent", "user_turn", "documented", "query")
+
+
 @query(None)
 def source_replies(spark, d):
     docs = V.documents(spark, d)

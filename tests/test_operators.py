@@ -270,3 +270,20 @@ def test_context_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("SELECT * FROM context"), "turn", "query") == [(0, "first"), (2, "first second"), (4, "first second third")]
+
+
+def test_lookup_replay(spark):
+    t = turns(spark, "Please describe the complete travel reimbursement policy for managers in Germany", "It covers trains.", "thanks", "Sure.", "where is this from", "The travel policy.", "page number")
+    rules = {"max_words": 12, "forms": {}, "stopwords": ["do"], "vocab": ["what", "documents"], "nouns": ["documents"]}
+    got = {r.turn: r for r in G.lookup_replay(t, LOOKUP, {"thanks": ["thanks"]}, rules).collect()}
+    assert set(got) == {4, 6} and [(r.intent, r.user_turn, r.documented) for r in (got[4], got[6])] == [("source", 0, True), ("page", 0, True)]
+    assert got[4]["query"].startswith("Please describe")
+    only = turns(spark, "thanks", "Sure.", "where is this from")
+    assert [(r.user_turn, r.documented) for r in G.lookup_replay(only, LOOKUP, {"thanks": ["thanks"]}, rules).collect()] == [(0, False)]
+
+
+def test_replies_do_not_repeat(spark):
+    events = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 0), ("b", 1)], "category string, nth int")
+    options = spark.createDataFrame([("a", i, f"r{i}") for i in range(3)] + [("b", 0, "only")], "category string, idx int, reply string")
+    got = [r.reply for r in G.pick_replies(events, options).filter("category = 'a'").orderBy("nth").collect()]
+    assert len(got) == 40 and all(x != y for x, y in zip(got, got[1:])) and len(set(got)) == 3
