@@ -561,7 +561,8 @@ def turn_plan(spark, d):
 
 @query(None)
 def lookup_replay(spark, d):
-    rules = LOOKUP | {"source": [*LOOKUP["source"], "in nicht einachie", "that"]}
+    # Utterances of the invented prose stand in for questions.
+    rules = LOOKUP | {"source": ["ortioned ernt the he shhe"], "section": ["orble reha hahe inon tion with ering onatti"], "page": ["und von pf einge undchungch ung"]}
     return G.lookup_replay(V.turns(spark, d), rules, PHRASES, CATALOG).select("conv_id", "turn", "intent", "user_turn", "documented", "query")
 
 
