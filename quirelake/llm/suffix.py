@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, cut, cut_small
+from .common import Rolling, buffers, cut
 
 LEAST, GRAM = 400, 96
 #: Runs of one anchor beyond which they are dealt out by their inner parts; windows of such a part.
@@ -206,7 +206,7 @@ def _find_runs(docs: DataFrame, least: int, gram: int) -> DataFrame:
 def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: int, stride: int) -> DataFrame:
     """(run, a, b): windows a..b-1 of each chosen run that occur in another chosen run of its anchor, or elsewhere in itself."""
     lists = chosen.groupBy("k", "k2").agg(F.collect_list(F.struct("run", "anchor", "start", "n", "off", "many")).alias("runs"))  # of one text
-    texts = docs.join(cut_small(lists, "lists"), ["k", "k2"]).select("text", "runs")
+    texts = docs.join(cut(lists, "lists"), ["k", "k2"]).select("text", "runs")
 
     def extract(batches) -> Iterator:
         out: list[tuple] = []
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = whole if partial is None else whole.unionByName(partial)
     marks = cut(spans.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "marks")  # at most a run's windows
     hits = found.join(marks, ["anchor", "d1", "d2"]).select("k", "k2", "start", "spans")
-    hits = cut_small(hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits")), "hits")  # of one text
+    hits = cut(hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits")), "hits")  # of one text
     # Rows that repeat an id and text have the hits of each; their spans coincide.
     both = base.join(hits, ["k", "k2"], "left").select("id", "text", "hits")
     kind = base.schema["id"].dataType.simpleString()
