@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import uuid
 
@@ -33,11 +34,28 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: whole texts are long, and both sides of a Python worker hold a batch.
+ARROW_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ARROW_ROWS rows for what runs within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
     at = new_dir(spark, what)
-    df.write.parquet(at)
+    with small_batches(spark):
+        df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -49,7 +67,8 @@ def cut_small(df: DataFrame, what: str, most: int = BROADCAST_BYTES) -> DataFram
     """Like cut, for one side of a join: with a hint to broadcast it if what was written is no larger than `most` bytes."""
     spark = df.sparkSession
     at = new_dir(spark, what)
-    df.write.parquet(at)
+    with small_batches(spark):
+        df.write.parquet(at)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     out = spark.read.schema(df.schema).parquet(at)
@@ -73,7 +92,6 @@ def let(value: Column, body) -> Column:
 
 def release() -> None:
     """Gives what a reused Python worker has freed since back to the system."""
-    import contextlib
     import ctypes
     import gc
 

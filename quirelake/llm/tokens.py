@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, new_dir, whole
+from .common import cut, new_dir, release, small_batches, whole
 
 #: Pieces of text, and words in lower case, whose ids a Python worker keeps (some 200 bytes each); when full, each starts anew.
-PIECES, WORDS = 250_000, 400_000
+PIECES, WORDS = 150_000, 250_000
 END_ID = 2
 _workers: dict = {}
 
@@ -109,6 +109,7 @@ def write_token_ids(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc
     def ids(batches):
         import numpy as np
 
+        release()
         coder = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -120,10 +121,11 @@ def write_token_ids(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = spread.sortWithinPartitions(*keys).mapInArrow(ids, f"doc_id {kind}, ids array<int>")
-    (
-        out.write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(32 << 20))
-        .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(to)
-    )
+    with small_batches(docs.sparkSession):
+        (
+            out.write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(32 << 20))
+            .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(to)
+        )
 
 
 def read_token_ids(spark: SparkSession, at: str) -> DataFrame:
@@ -138,6 +140,10 @@ def token_index(spark: SparkSession, at: str) -> DataFrame:
     def sums(batches):
         import numpy as np
 
+        from quirelake.llm import tokens
+
+        tokens._workers.clear()  # encoders have done their work
+        release()
         for batch in batches:
             ids = batch.column(1)
             offsets = ids.offsets.to_numpy()
