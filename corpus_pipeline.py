@@ -20,12 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays."""
-    classes = jaccard.jaccard_classes(docs).select("doc_id", "component_id").distinct()
-    # Texts aren't shuffled for what one flag says: of rows that repeat an id, one stays.
-    gone = cut(classes.filter("doc_id <> component_id").select("doc_id"), "near-copies")
+    """Of each class of near copies the document with the least id stays; of rows with one id and text, one. Rows without an id stay."""
+    classes = cut(jaccard.jaccard_classes(docs).select("doc_id", "component_id"), "classes")
+    # What goes is a list of ids; texts aren't shuffled for it, unless ids repeat.
+    gone = cut(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_NODES else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
