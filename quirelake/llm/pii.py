@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut, cut_small, fold_ascii, let, whole
 from .decontam import words
 
-#: Texts an entity, and a term with it, must be in; shortest terms; least disclosure, as a share of the entity's information.
-SUPPORT, SHORTEST, DISCLOSURE = 3, 3, 0.8
+#: Shortest terms; least disclosure, as a share of the entity's information; texts a term counts as being in besides those that say it.
+SHORTEST, DISCLOSURE, SMOOTH = 3, 0.8, 2
+#: What names the texts an entity is in: how many, and a hash of all of them.
+GROUP = ("n_entity", "g1", "g2")
 BROADCAST_ROWS = 1_000_000
 
 # The contract's patterns, written so that a search takes linear time and no deep recursion: runs are possessive where that changes no match, and
@@ -73,38 +75,52 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str, support: int = SUPPORT, shortest: int = SHORTEST, threshold: float = DISCLOSURE) -> DataFrame | None:
-    """(kind, value, terms): the terms that disclose an entity, or None if no entity is in `support` texts.
+def terms_of(text: Column, shortest: int = SHORTEST) -> Column:
+    """Distinct words of `shortest` characters or more that are not numbers."""
+    return F.array_distinct(F.filter(words(fold_ascii(text)), lambda w: (F.char_length(w) >= shortest) & w.rlike("[^0-9]")))
 
-    Contexts are distinct texts. A term discloses an entity by their pointwise mutual information, as a share of the entity's own information:
-    ln(n_both * n / (n_term * n_entity)) / ln(n / n_entity). Terms are words of `shortest` characters or more that are not numbers.
+
+def held_entities(found: DataFrame) -> DataFrame:
+    """(kind, value, t1, t2): each entity and each text that holds it."""
+    return found.select("t1", "t2", F.explode("spans").alias("s")).select("s.kind", "s.value", "t1", "t2").distinct()
+
+
+def known_entities(found: DataFrame) -> DataFrame:
+    """(kind, value, *GROUP): every entity, however rare."""
+    return held_entities(found).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor("t1").alias("g1"), F.bit_xor("t2").alias("g2"))
+
+
+def ratings(found: DataFrame, docs: DataFrame, text_col: str, shortest: int = SHORTEST, smooth: float = SMOOTH) -> DataFrame | None:
+    """(*GROUP, term, disclosure): every term of every entity's texts, or None without entities. Entities in the same texts have the same ratings.
+
+    Contexts are distinct texts. A term discloses an entity by their smoothed pointwise mutual information, as a share of the entity's own information:
+    ln(n_both * n / ((n_term + smooth) * n_entity)) / ln(n / n_entity). Smoothing weakens what few texts say; nothing is left out for being rare.
     found: (t1, t2, text, spans) of the texts with spans.
     """
-    entities = found.select("t1", "t2", F.explode("spans").alias("s")).select("t1", "t2", "s.kind", "s.value").distinct()
-    known = entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
-    known = cut(known, "entities")
+    known = cut(known_entities(found), "entities")
     if known.isEmpty():
         return None
-    terms = lambda text: F.array_distinct(F.filter(words(fold_ascii(text)), lambda w: (F.char_length(w) >= shortest) & w.rlike("[^0-9]")))
-    held = cut(entities.join(_bounded(known), ["kind", "value"]).select("t1", "t2", "kind", "value"), "holders")
-    said = found.dropDuplicates(["t1", "t2"]).select("t1", "t2", "text").join(held.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("t1", "t2", F.explode(terms(F.col("text"))).alias("term"))
-    both = said.join(held, ["t1", "t2"]).groupBy("term", "kind", "value").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
+    held = cut(held_entities(found).join(_bounded(known), ["kind", "value"]).select("t1", "t2", *GROUP).distinct(), "holders")
+    said = found.dropDuplicates(["t1", "t2"]).select("t1", "t2", F.explode(terms_of(F.col("text"), shortest)).alias("term"))
+    both = said.join(held, ["t1", "t2"]).groupBy("term", *GROUP).agg(F.count(F.lit(1)).alias("n_both")).withColumn("h", F.xxhash64("term"))
     both = cut(both, "pairs")
-    candidates = _bounded(both.select("term").distinct())
+    candidates = cut(both.select("h").distinct(), "candidates")
     # Copies of a text count as one: each has its share of 1, so that terms are summed before they are shuffled.
     names = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
-    copies = docs.select(*names).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"))
+    copies = cut(docs.select(*names).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")), "texts")
     every = docs.select(*names, F.col(text_col).alias("text")).join(cut_small(copies.filter("copies > 1"), "copies"), ["t1", "t2"], "left")
-    every = every.select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(terms(whole(F.col("text")))).alias("term"))
-    n_term = every.join(candidates, "term", "left_semi").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
-    n = copies.count()
-    rated = both.join(n_term, "term").join(_bounded(known), ["kind", "value"])
-    own = F.log(F.lit(float(n)) / F.col("n_entity"))
-    rated = rated.withColumn("disclosure", F.when(own > 0, F.log(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity"))) / own).otherwise(0.0))
-    return rated.filter(F.col("disclosure") >= threshold).groupBy("kind", "value").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-
-
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, shortest: int = SHORTEST, threshold: float = DISCLOSURE, with_text: bool = False) -> DataFrame:
+    hashes = F.transform(terms_of(whole(F.col("text")), shortest), lambda w: F.xxhash64(w))
+    every = every.select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(hashes).alias("h"))
+    # Too many to broadcast: all terms are summed first.
+    every = every.join(F.broadcast(candidates), "h", "left_semi") if candidates.count() <= BROADCAST_ROWS else every
+    n_term = every.groupBy("h").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
+    n = F.lit(float(copies.count()))
+    own = F.log(n / F.col("n_entity"))
+    disclosure = F.when(own > 0, F.log(F.col("n_both") * n / ((F.col("n_term") + smooth) * F.col("n_entity"))) / own).otherwise(0.0)
+    return both.join(n_term, "h").select(*GROUP, "term", disclosure.alias("disclosure"))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, threshold: float = DISCLOSURE, smooth: float = SMOOTH, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, and with_text the sanitised text.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, comma-joined; code points, end exclusive. Base spans are the
@@ -117,13 +133,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), text.alias("text"), base_spans(text).alias("spans"))
     all_ = cut(first.withColumn("text", F.when((F.size("spans") > 0) | F.lit(with_text), F.col("text"))), "spans")
     found = all_.filter(F.size("spans") > 0)
-    rated = disclosures(found.select("t1", "t2", "text", "spans"), docs, text_col, support, shortest, threshold)
+    rated = ratings(found.select("t1", "t2", "text", "spans"), docs, text_col, shortest, smooth)
     none = all_.filter(F.size("spans") == 0).withColumn("more", F.slice("spans", 1, 0))
     if rated is None:
         some = found.withColumn("more", F.slice("spans", 1, 0))
     else:
-        entities = found.select("t1", "t2", F.explode("spans").alias("s")).select("t1", "t2", "s.kind", "s.value").distinct()
-        told = entities.join(_bounded(cut(rated, "disclosing")), ["kind", "value"]).groupBy("t1", "t2").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+        rated = rated.filter(F.col("disclosure") >= threshold).groupBy(*GROUP).agg(F.collect_list("term").alias("terms"))
+        held = held_entities(found).join(_bounded(known_entities(found)), ["kind", "value"]).select("t1", "t2", *GROUP).distinct()
+        told = held.join(_bounded(cut(rated, "disclosing")), list(GROUP)).groupBy("t1", "t2").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
         marked = found.join(_bounded(cut(told, "told")), ["t1", "t2"], "left")
         # Longer terms first; terms hold no characters that patterns give a meaning.
         edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"

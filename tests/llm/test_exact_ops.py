@@ -1,6 +1,7 @@
 """Operators with exact results, against brute force on small tables with the odd cases."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.llm import chat, decontam, exact, jaccard, pii, suffix
+from quirelake.llm.common import whole
 from quirelake.llm.graph import components
 
 DOCS = "doc_id long, text string, n long, id long, digest string"
@@ -215,6 +217,32 @@ def test_disclosing_terms(spark):
     assert not any(r.n_term for r in pii.find_pii(table(spark, copies)).collect())
 
 
+def rated_entities(docs):
+    """(entities, those with a rating, those with a disclosing term) of a whole table."""
+    found = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text", pii.base_spans(whole(F.col("text"))).alias("spans")).filter(F.size("spans") > 0)
+    known = pii.known_entities(found).collect()
+    rated = {(r.n_entity, r.g1, r.g2): r.most for r in pii.ratings(found, docs, "text").groupBy(*pii.GROUP).agg(F.max("disclosure").alias("most")).collect()}
+    best = [rated.get((r.n_entity, r.g1, r.g2)) for r in known]
+    return len(best), sum(x is not None for x in best), sum(x is not None and x >= pii.DISCLOSURE for x in best)
+
+
+def test_entities_of_every_frequency_are_rated(spark):
+    texts = [f"all write here {i}" for i in range(400)] + ["Zorblatt write zed@firm.org here", "call +1 415 555 1234 write here", "qua here 10.0.0.1"]
+    docs = table(spark, texts)
+    assert rated_entities(docs) == (3, 3, 3)
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert "term:0:8" in got[400] and "term:0:4" in got[401] and "term:0:3" in got[402]
+    assert not any("term" in got[i] for i in range(400))
+
+
+def test_all_entities_of_the_table_are_rated(spark):
+    d = "/root/testdata/sf0.1"
+    if not os.path.exists(d):
+        pytest.skip("no tables here")
+    entities, rated, _ = rated_entities(spark.read.parquet(f"{d}/documents.parquet"))
+    assert entities == rated == 593
+
+
 def test_chat(spark):
     calls = [(1, "a", 0, "f", '{"y":"q","x":1}', None), (1, "b", 1, "f", '{"y": 3}', "a"), (1, "c", 2, "g", "{}", "b"), (1, "d", 3, "f", "nope", "e"), (1, "e", 4, "f", '{"x":1.5,"z":null}', "d"), (1, "a", 9, "f", '{"x":1}', None), (1, None, 5, "f", "[1]", None), (2, "a", 0, "h", "{}", "gone")]
     results = [(1, "a", 1, "r1"), (1, "a", 2, "r2"), (1, "zz", 3, "r3"), (1, "c", 4, None)]
