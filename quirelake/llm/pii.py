@@ -120,36 +120,38 @@ def ratings(found: DataFrame, docs: DataFrame, text_col: str, shortest: int = SH
     return both.join(n_term, "h").select(*GROUP, "term", disclosure.alias("disclosure"))
 
 
+def term_spans(disclosing: DataFrame, texts: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(t1, t2, _terms): the spans of disclosing terms in each distinct text that says any. Whole texts move only if they do."""
+    disclosing = _bounded(cut(disclosing.select(F.xxhash64("term").alias("h")), "disclosing"))
+    said = texts.select("t1", "t2", F.explode(terms_of(F.col("text"), shortest)).alias("term")).withColumn("h", F.xxhash64("term")).join(disclosing, "h", "left_semi")
+    told = cut(said.groupBy("t1", "t2").agg(F.collect_set("term").alias("terms")), "told")
+    telling = texts.join(_bounded(told.select("t1", "t2")), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).join(told, ["t1", "t2"])
+    # Longer terms first; terms hold no characters that patterns give a meaning.
+    edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    listed = F.array_join(F.sort_array(F.col("terms"), asc=False), "|")
+    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), listed, F.lit(f")(?!{edge})"))
+    return telling.select("t1", "t2", matches(fold_ascii(F.col("text")), pattern, "term").alias("_terms"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, threshold: float = DISCLOSURE, smooth: float = SMOOTH, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, and with_text the sanitised text.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, comma-joined; code points, end exclusive. Base spans are the
-    patterns' matches. A term is marked in the texts that hold the entity it discloses, wherever it does not overlap a base span; texts without base
-    spans get none. In the sanitised text, spans are replaced by their kinds, overlapping ones by the first. Null and empty texts have no
-    spans. Repeated rows each give a row and count as one text in the statistics. An empty table gives an empty result. Other columns are
+    patterns' matches. A term that discloses any entity is marked in all texts, with base spans or without, wherever it does not overlap a base span.
+    In the sanitised text, spans are replaced by their kinds, overlapping ones by the first. Null and empty texts have no spans. Repeated rows each give a row and count as one text in the statistics. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
     text = whole(F.col(text_col))
-    first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), text.alias("text"), base_spans(text).alias("spans"))
+    names = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
+    first = docs.select(F.col(id_col).alias("id"), *names, text.alias("text"), base_spans(text).alias("spans"))
     all_ = cut(first.withColumn("text", F.when((F.size("spans") > 0) | F.lit(with_text), F.col("text"))), "spans")
-    found = all_.filter(F.size("spans") > 0)
-    rated = ratings(found.select("t1", "t2", "text", "spans"), docs, text_col, shortest, smooth)
-    none = all_.filter(F.size("spans") == 0).withColumn("more", F.slice("spans", 1, 0))
+    rated = ratings(all_.filter(F.size("spans") > 0).select("t1", "t2", "text", "spans"), docs, text_col, shortest, smooth)
     if rated is None:
-        some = found.withColumn("more", F.slice("spans", 1, 0))
+        both = all_.withColumn("more", F.slice("spans", 1, 0))
     else:
-        rated = rated.filter(F.col("disclosure") >= threshold).groupBy(*GROUP).agg(F.collect_list("term").alias("terms"))
-        held = held_entities(found).join(_bounded(known_entities(found)), ["kind", "value"]).select("t1", "t2", *GROUP).distinct()
-        told = held.join(_bounded(cut(rated, "disclosing")), list(GROUP)).groupBy("t1", "t2").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-        marked = found.join(_bounded(cut(told, "told")), ["t1", "t2"], "left")
-        # Longer terms first; terms hold no characters that patterns give a meaning.
-        edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-        listed = F.array_join(F.sort_array(F.col("terms"), asc=False), "|")
-        pattern = F.concat(F.lit(f"(?<!{edge})(?:"), listed, F.lit(f")(?!{edge})"))
-        terms = F.when(F.size("terms") > 0, matches(fold_ascii(F.col("text")), pattern, "term")).otherwise(F.slice("spans", 1, 0))
+        marks = cut_small(term_spans(rated.filter(F.col("disclosure") >= threshold).select("term").distinct(), docs.select(*names, text.alias("text")), shortest), "marks")
         clear = let(F.col("spans"), lambda base: F.filter(F.col("_terms"), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-        some = marked.withColumn("_terms", terms).withColumn("more", clear).drop("_terms", "terms")
-    both = some.unionByName(none)
+        both = all_.join(marks, ["t1", "t2"], "left").withColumn("more", F.when(F.col("_terms").isNull(), F.slice("spans", 1, 0)).otherwise(clear)).drop("_terms")
     name = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     out = [F.col("id").alias(id_col), *map(count, ("email", "ip", "card", "phone")), F.sha2(name(F.col("spans")).cast("binary"), 256).alias("base_sha256"), name(F.concat("spans", "more")).alias("spans"), F.size("more").cast("long").alias("n_term")]

@@ -235,6 +235,15 @@ def test_entities_of_every_frequency_are_rated(spark):
     assert not any("term" in got[i] for i in range(400))
 
 
+def test_disclosing_terms_are_marked_in_all_documents(spark):
+    texts = [f"all write here {i}" for i in range(4000)] + ["Zorblatt write zed@firm.org here", "all say ZORBLATT here", "all say zorblatts here", "zorblatt, zorblatt 10.0.0.1", "all say ZORBLATT here", None]
+    got = {r.doc_id: r for r in pii.find_pii(table(spark, texts), with_text=True).collect()}
+    assert got[4001].spans == got[4004].spans == "term:8:16" and got[4001].sanitised == got[4004].sanitised == "all say [TERM] here" and got[4001].n_term == 1
+    assert got[4003].sanitised == "[TERM], [TERM] [IP]" and got[4000].sanitised == "[TERM] write [EMAIL] here"
+    assert got[4002].n_term == 0 and not any(got[i].n_term for i in range(4000)) and got[4005].spans == ""
+    assert {r.doc_id: r.spans for r in pii.find_pii(table(spark, texts)).collect()} == {i: r.spans for i, r in got.items()}
+
+
 def test_all_entities_of_the_table_are_rated(spark):
     d = "/root/testdata/sf0.1"
     if not os.path.exists(d):
