@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import decontam, jaccard, mixing, queries, tokens, toxicity
-from quirelake.llm.common import cut
+from quirelake.llm.common import cut, row_key
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,24 +20,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays; of rows with one id and text, one. Rows without an id stay."""
-    classes = cut(jaccard.jaccard_classes(docs).select("doc_id", "component_id"), "classes")
-    # What goes is a list of ids; texts aren't shuffled for it, unless ids repeat.
-    gone = cut(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    """Of each class of near copies the document with the least id stays, one without an id only where none has one; of rows with one id and text, one.
+    Rows go by id and text, so one that shares only its id with a near copy stays. Rows without words stay."""
+    classes = cut(jaccard.jaccard_classes(docs, keys=True), "classes")
+    # What goes is a list of keys; texts aren't shuffled for it, unless rows repeat.
+    gone = cut(classes.filter("k1 <> kept_k1 OR k2 <> kept_k2").select("k1", "k2").distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_NODES else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = cut(classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    kept = docs.select("*", *row_key("doc_id", "text")).join(gone, ["k1", "k2"], "left_anti")
+    twice = cut(classes.filter("doc_id IS NOT NULL OR kept_k1 IS NOT NULL").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"), "repeated-rows")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+        return kept.select(*docs.columns)
+    return kept.join(twice, ["k1", "k2"], "left_anti").unionByName(kept.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    marks = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    gone = cut(marks.filter("contaminated").select("doc_id").distinct(), "contaminated")
+    """Documents that hold a window of a benchmark item go, by id and text: with or without an id, and no others that share the id."""
+    marks = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keys=True)
+    gone = cut(marks.filter("contaminated").select("k1", "k2").distinct(), "contaminated")
     gone = F.broadcast(gone) if gone.count() <= decontam.BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.select("*", *row_key("doc_id", "text")).join(gone, ["k1", "k2"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,11 @@ def whole(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """k1 and k2, hashes of a row's id and text that are never null: equal keys mean equal ids and texts."""
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value, evaluated once a row: inside the lambdas of body, an expression would be evaluated each time."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

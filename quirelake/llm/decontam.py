@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_ascii, let, whole
+from .common import cut, fold_ascii, let, row_key, whole
 
 #: Everything but digits, a-z, A-Z and what lies beyond ASCII parts words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -45,7 +45,7 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, keys: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside any occurrence of an item's window), n_items, items_sha256, items, contaminated.
 
     Winnowing: of each document, the least hash of every window - gram + 1 consecutive gram-word hashes is a fingerprint; so every run of
@@ -56,6 +56,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     and text) give one row each; ids are expected to name one text (rows with equal ids and different texts are kept apart).
     An empty items table leaves all documents clean. Other columns are ignored, whatever their names.
     Fingerprints of items are broadcast up to BROADCAST_ROWS rows and shuffled beyond; documents' texts are never shuffled.
+    keys adds row_key.
     """
     windows = cut(item_windows(items, item_col, item_text, window), "item-windows")
     prints = (
@@ -67,7 +68,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # What is found depends on a text alone, so (k, t) names it: k spreads equal hashes, t is the text's hash.
     number = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(0)) if number else F.xxhash64(id_col)
-    base = docs.select(F.col(id_col).alias("id"), k.alias("k"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), k.alias("k"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"), *(row_key(id_col, text_col) if keys else []))
     # Fingerprints are of texts in lower case, on both sides. That merges more than A-Z and only adds candidates, which the comparison below drops.
     loose = base.select("k", "t", words(F.lower(whole(F.col("text")))).alias("w"))
     hits = None
@@ -78,10 +79,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         mine = windows.filter(F.col("n") == n).select(F.explode(gram_hashes(F.split(F.lower("win"), " "), n)).alias("h")).distinct()
         more = loose.select("k", "t", F.explode(F.array_distinct(gram_hashes(F.col("w"), n))).alias("h")).join(_bounded(mine, n_windows), "h", "left_semi").select("k", "t")
         hits = more if hits is None else hits.union(more)
-    counted = base.select("id", "k", "t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    more = ["k1", "k2"] if keys else []
+    counted = base.select("id", *more, "k", "t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")]
     if hits is None:
-        return _report(counted.select("id", "n_words", *none), id_col)
+        return _report(counted.select("id", *more, "n_words", *none), id_col, more)
     some = cut(hits.distinct(), "candidates")
     # Extension: all windows of the candidates' words against the items' windows, as text.
     few = _bounded(some, some.count())
@@ -102,11 +104,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = reach.select("k", "t", F.aggregate("s", zero, step)["n"].alias("n_hit"))
     marked = cut(hit.join(per_doc, ["k", "t"]), "marked")
     marks = _bounded(marked, marked.count())
-    return _report(counted.join(marks, ["k", "t"], "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), id_col)
+    return _report(counted.join(marks, ["k", "t"], "left").select("id", *more, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), id_col, more)
 
 
-def _report(df: DataFrame, id_col: str) -> DataFrame:
+def _report(df: DataFrame, id_col: str, more: list[str]) -> DataFrame:
     return df.select(
         F.col("id").alias(id_col), "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", *more,
     )

@@ -160,6 +160,18 @@ def test_jaccard_repeats_and_null_ids(spark):
     assert got == sorted([(5, 3), (5, 3), (None, 3), (3, 3), (9, 9)], key=str)
 
 
+def test_jaccard_near_copy_without_an_id(spark):
+    w = [f"u{i}" for i in range(60)]
+    # 4 and 2 are linked only through the row without an id.
+    x, y = [f"x{i}" for i in range(6)], [f"y{i}" for i in range(6)]
+    texts = [w, [*x, *w[6:]], [*x, *w[6:54], *y]]
+    docs = [(4, " ".join(texts[0])), (None, " ".join(texts[1])), (2, " ".join(texts[2])), (None, "quite another text of some words"), (None, "quite another text of some words"), (8, "and one more text that is alone")]
+    one, two = shingle_set(docs[0][1]), shingle_set(docs[2][1])
+    assert 100 * len(one & two) < 75 * len(one | two)
+    got = jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(4, 2), (None, 2), (2, 2), (None, None), (None, None), (8, 8)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, rng.randint(101, 140)) for _ in range(80)] + [(7, 7), (200, 201), (201, 200), (None, 3)]

@@ -265,3 +265,17 @@ def test_pipeline(spark):
     out = P.run(spark, d).collect()
     assert len(out) == docs.count() and {r.doc_id for r in out} == {r.doc_id for r in docs.collect()}
     assert min(r.start for r in out) == 0 and len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+def test_pipeline_filters_rows_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline as P
+
+    w = [f"v{i}" for i in range(60)]
+    leak, base, near = "one two three four five six seven eight nine ten", " ".join(w), " ".join([*w[:59], "end"])
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, base), (None, near), (None, "no copy of any"), (7, near), (7, "clean words"), (8, f"so {leak} it goes"), (8, "clean too"), (None, leak), (9, "twice"), (9, "twice"), (None, ""), (None, "")], "doc_id long, text string")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = P.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    assert rows(kept) == sorted([(1, base), (None, "no copy of any"), (7, "clean words"), (8, f"so {leak} it goes"), (8, "clean too"), (None, leak), (9, "twice"), (None, ""), (None, "")], key=str)
+    clean = P.drop_contaminated(spark, kept, str(tmp_path))
+    assert rows(clean) == sorted([(1, base), (None, "no copy of any"), (7, "clean words"), (8, "clean too"), (9, "twice"), (None, ""), (None, "")], key=str)
