@@ -75,7 +75,7 @@ def dense_top20(spark, d):
 
 @query(f"WITH {SPARSE_RANK} SELECT query_id, chunk_id, score, CAST(sparse_rank AS INT) AS sparse_rank FROM sr")
 def sparse_top20(spark, d):
-    return R.sparse_search(V.token_queries(spark, d), V.sparse(spark, d), 20)
+    return R.sparse_search(V.token_queries(spark, d, least=V.TERM), V.sparse(spark, d, V.TERM), 20)
 
 
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, score, CAST(dense_rank AS INT) AS dense_rank FROM dr WHERE dense_rank <= 5")
@@ -83,8 +83,8 @@ def dense_topn_per_query(spark, d):
     return R.dense_search(V.vector_queries(spark, d), V.dense(spark, d), 5)
 
 
-def _fused(spark, d):
-    return R.rrf(R.dense_search(V.vector_queries(spark, d), V.dense(spark, d), 20), R.sparse_search(V.token_queries(spark, d), V.sparse(spark, d), 20))
+def _fused(spark, d, least=V.TERM):
+    return R.rrf(R.dense_search(V.vector_queries(spark, d), V.dense(spark, d), 20), R.sparse_search(V.token_queries(spark, d, least=least), V.sparse(spark, d, least), 20))
 
 
 @query(f"""WITH {FUSED}, r AS (SELECT query_id, chunk_id, round(fused_score, 9) AS fused_score, dense_rank, sparse_rank FROM fu)
@@ -570,7 +570,7 @@ def lookup_replay(spark, d):
 def source_replies(spark, d):
     docs = V.documents(spark, d)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.concat_ws(" > ", "document_title", "lang").alias("section_path"), "text")
-    results = R.details(R.top(_fused(spark, d), 3), chunks, docs)
+    results = R.details(R.top(_fused(spark, d, 1), 3), chunks, docs)
     where = G.location_reply(results).withColumnRenamed("reply", "where")
     return G.source_reply(results).join(where, "query_id")
 

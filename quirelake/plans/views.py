@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Tokens of sparse vectors: words of this length at least.
+#: Shortest tokens of sparse vectors in the queries whose SQL leaves out shorter ones; all others take every token.
 TERM = 5
 
 
@@ -47,10 +47,10 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return lang
 
 
-def sparse(spark: SparkSession, d: str) -> DataFrame:
-    """(chunk_id, token, weight): how often a document says a longer word."""
+def sparse(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
+    """(chunk_id, token, weight): how often a document says a word (of `least` characters)."""
     words = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.split(T.squash(F.col("text")), " ")).alias("token"))
-    return words.filter(F.char_length("token") >= TERM).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return words.filter(F.char_length("token") >= least).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,8 @@ def vector_queries(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
     return q.select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def token_queries(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
-    rows = sparse(spark, d).filter((F.col("chunk_id") - shift) % 100 == 0)
+def token_queries(spark: SparkSession, d: str, shift: int = 0, least: int = 1) -> DataFrame:
+    rows = sparse(spark, d, least).filter((F.col("chunk_id") - shift) % 100 == 0)
     return rows.select((F.col("chunk_id") - shift).alias("query_id"), "token", "weight")
 
 

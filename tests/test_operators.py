@@ -1,4 +1,6 @@
+import random
 import zipfile
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -11,6 +13,7 @@ from quirelake.operators import duplicates as D
 from quirelake.operators import ingest as I
 from quirelake.operators import retrieval as R
 from quirelake.operators import store as S
+from quirelake.plans import views as V
 from quirelake.sources import files
 from quirelake.streaming import jobs
 
@@ -55,6 +58,26 @@ def test_gate_and_active_model(spark):
     assert rows(R.active_model(v, p), "chunk_id") == [(2,)]
 
 
+def test_sparse_takes_every_token(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(("the", "a", "of", "lease", "notice", "12", "Ab")) for _ in range(rng.randint(1, 30))) for _ in range(205)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bags = {i: Counter((t or "").lower().split()) for i, t in enumerate(texts)}
+    got = {(r.chunk_id, r.token): r.weight for r in V.sparse(spark, str(tmp_path)).collect()}
+    assert got == {(i, w): n for i, b in bags.items() for w, n in b.items()}
+    want = set()
+    for q in (0, 100, 200):
+        dots = sorted((-sum(n * bags[q][w] for w, n in b.items()), i) for i, b in bags.items())
+        want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(x for x in dots[:20] if x[0])}
+    for limit in (R.TOKEN_ROWS, 0):
+        R.TOKEN_ROWS, before = limit, R.TOKEN_ROWS
+        try:
+            found = R.sparse_search(V.token_queries(spark, str(tmp_path)), V.sparse(spark, str(tmp_path)), 20).collect()
+        finally:
+            R.TOKEN_ROWS = before
+        assert {(r.query_id, r.chunk_id, r.score, r.sparse_rank) for r in found} == want
+
+
 # ------------------------------------------------------------------ duplicates
 
 
