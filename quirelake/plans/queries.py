@@ -276,8 +276,8 @@ def exact_duplicates(spark, d):
     return D.exact_duplicates(_prints(spark, d).withColumn("created", F.col("document_id")))
 
 
-def _docs(spark, d):
-    rows = V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60).alias("title"), "text")
+def _docs(spark, d, title=V.TITLE):
+    rows = V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), V.title(title).alias("title"), "text")
     return rows.join(_prints(spark, d), "document_id")
 
 
@@ -304,9 +304,8 @@ def dup_reasons(spark, d):
 
 @query(None)
 def chunk_diff(spark, d):
-    docs = V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    rows = D.shingle_rows(docs)
-    pairs = D.similarity(D.overlaps(rows), rows).filter("jaccard >= 0.6")
+    docs = _docs(spark, d, None)
+    pairs = D.pairwise(docs).select("a", "b")
     return D.chunk_diff(pairs, docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("seq", "text")))
 
 

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 #: Shortest tokens of sparse vectors in the queries whose SQL leaves out shorter ones; all others take every token.
 TERM = 5
+#: Characters of titles in the queries whose SQL leaves out the rest; all others take whole first lines.
+TITLE = 60
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def documents(spark: SparkSession, d: str) -> DataFrame:
-    """documents: the first line is the title; a text is superseded by the first document with the same; toxic ones are restricted."""
+def title(most: int | None = None) -> Column:
+    """The first line of a text, or its first `most` characters."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    return line if most is None else F.substring(line, 1, most)
+
+
+def documents(spark: SparkSession, d: str, most: int | None = TITLE) -> DataFrame:
+    """documents: the first line (of at most `most` characters) is the title; a text is superseded by the first document with the same; toxic ones are restricted."""
     docs = read(spark, d, "documents")
     toxic = read(spark, d, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     first = docs.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("first")).drop("h")
     rows = docs.join(first, "text").join(toxic, "doc_id", "left")
     return rows.select(
-        F.col("doc_id").alias("document_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_file"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60).alias("document_title"), "text", "lang", "source",
+        F.col("doc_id").alias("document_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_file"), title(most).alias("document_title"), "text", "lang", "source",
         F.when(F.col("doc_id") == F.col("first"), "active").otherwise("superseded").alias("status"), F.coalesce("toxic", F.lit(False)).alias("is_restricted"), (F.col("doc_id") != F.col("first")).alias("is_superseded"), F.col("doc_id").alias("created_at"), F.lit(None).cast("long").alias("updated_at"),
     )
 

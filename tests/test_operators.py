@@ -13,6 +13,7 @@ from quirelake.operators import duplicates as D
 from quirelake.operators import ingest as I
 from quirelake.operators import retrieval as R
 from quirelake.operators import store as S
+from quirelake.plans import queries as Q
 from quirelake.plans import views as V
 from quirelake.sources import files
 from quirelake.streaming import jobs
@@ -101,6 +102,13 @@ def test_chunk_diff(spark):
     assert rows(D.chunk_diff(pairs, chunks), "a", "b", "only_a", "only_b") == [(1, 2, 1, 2)]
 
 
+def test_chunk_diff_of_every_pair_with_a_reason(spark, tmp_path):
+    long = "Leave policy " + "x" * 60
+    texts = ["one two three four five six seven eight", "one two three four five six seven eight\n" + " ".join(f"w{i}" for i in range(40)), f"{long} a\nfirst words", f"{long} A!\nother things", f"{long} b\nno pair of these", "alone"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(Q.QUERIES["chunk_diff"](spark, str(tmp_path)), "a", "b", "only_a", "only_b") == [(0, 1, 0, 1), (2, 3, 2, 2)]
+
+
 # ------------------------------------------------------------------ conversations
 
 
