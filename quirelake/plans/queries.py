@@ -314,8 +314,11 @@ sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS
 sn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL), bn AS (SELECT item_id, count(*) AS n FROM bh GROUP BY ALL), o AS (SELECT item_id AS a, doc_id AS b, count(*) AS o FROM bh JOIN sh USING (s) GROUP BY ALL),
 r AS (SELECT a, b, round(o / (x.n + y.n - o), 4) AS jaccard, round(o / x.n, 4) AS a_in_b, round(o / y.n, 4) AS b_in_a FROM o JOIN bn x ON x.item_id = a JOIN sn y ON y.doc_id = b) SELECT * FROM r WHERE jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75""")
 def upload_candidates(spark, d):
-    new = V.read(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.concat(F.lit("upload/"), F.col("item_id").cast("string")).alias("source_file"), "text")
-    return D.upload_candidates(new, V.documents(spark, d).select("document_id", "source_file", "text"))
+    new = V.read(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.concat(F.lit("upload/"), F.col("item_id").cast("string")).alias("source_file"), F.lit(None).cast("string").alias("title"), "text")
+    new = new.join(D.fingerprint(new.withColumn("seq", F.lit(0))), "document_id")
+    # Uploads have no titles here; the SQL takes superseded documents too, and gives no reasons.
+    docs = V.documents(spark, d).select("document_id", "source_file", F.col("document_title").alias("title"), "text").join(_prints(spark, d), "document_id")
+    return D.upload_candidates(new, docs).drop("reasons")
 
 
 @query(f"WITH {SHINGLE} SELECT d.doc_id AS document_id, coalesce(n, 0) AS shingles FROM documents d LEFT JOIN sn USING (doc_id)")

@@ -102,6 +102,14 @@ def test_chunk_diff(spark):
     assert rows(D.chunk_diff(pairs, chunks), "a", "b", "only_a", "only_b") == [(1, 2, 1, 2)]
 
 
+def test_upload_candidates_by_every_reason(spark):
+    base = "one two three four five six seven eight nine ten"
+    made = lambda rows: (lambda x: x.join(D.fingerprint(x.withColumn("seq", F.lit(0))), "document_id"))(spark.createDataFrame(rows, "document_id int, source_file string, title string, text string, status string"))
+    new = made([(1, "new/1", "Leave", base, "active"), (2, "new/2", None, " ", "active"), (3, "old/5", "Pay", "other", "active")])
+    old = made([(1, "old/1", "leave!", "words of no kin", "active"), (2, "old/2", "X", base.upper(), "active"), (3, "old/3", "Leave", base, "superseded"), (4, "old/4", "", "", "active"), (5, "old/5", "pay", "other", "active"), (6, "old/6", "LEAVE", base + " eleven", "active")])
+    assert rows(D.upload_candidates(new, old), "a", "b", "jaccard", "reasons") == [(1, 1, 0.0, ["title"]), (1, 2, 1.0, ["exact"]), (1, 6, 0.8571, ["near", "title"]), (2, 4, 0.0, ["exact"])]
+
+
 def test_chunk_diff_of_every_pair_with_a_reason(spark, tmp_path):
     long = "Leave policy " + "x" * 60
     texts = ["one two three four five six seven eight", "one two three four five six seven eight\n" + " ".join(f"w{i}" for i in range(40)), f"{long} a\nfirst words", f"{long} A!\nother things", f"{long} b\nno pair of these", "alone"]
