@@ -134,7 +134,7 @@ def search_details(spark, d):
 
 @query(None)
 def retrieve(spark, d):
-    docs = V.documents(spark, d)
+    docs = V.documents(spark, d, None)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.lit("").alias("section_path"), "text", "is_superseded")
     vectors, tokens = V.vector_queries(spark, d), V.token_queries(spark, d)
     more = tuple(x.withColumn("part", F.lit(0)) for x in (V.vector_queries(spark, d, 1), V.token_queries(spark, d, 1)))
@@ -224,12 +224,12 @@ def policy_list(spark, d):
 
 @query(None)
 def topic_titles(spark, d):
-    return A.topics(V.documents(spark, d))
+    return A.topics(V.documents(spark, d, None))
 
 
 @query(None)
 def catalog_reply(spark, d):
-    return A.catalog_reply(A.catalog(V.documents(spark, d)))
+    return A.catalog_reply(A.catalog(V.documents(spark, d, None)))
 
 
 @query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -570,7 +570,7 @@ def lookup_replay(spark, d):
 
 @query(None)
 def source_replies(spark, d):
-    docs = V.documents(spark, d)
+    docs = V.documents(spark, d, None)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.concat_ws(" > ", "document_title", "lang").alias("section_path"), "text")
     results = R.details(R.top(_fused(spark, d, 1), 3), chunks, docs)
     where = G.location_reply(results).withColumnRenamed("reply", "where")

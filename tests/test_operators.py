@@ -110,6 +110,12 @@ def test_upload_candidates_by_every_reason(spark):
     assert rows(D.upload_candidates(new, old), "a", "b", "jaccard", "reasons") == [(1, 1, 0.0, ["title"]), (1, 2, 1.0, ["exact"]), (1, 6, 0.8571, ["near", "title"]), (2, 4, 0.0, ["exact"])]
 
 
+def test_titles_are_whole_first_lines(spark):
+    line = "x" * 70
+    df = spark.createDataFrame([(f"{line} a\nb",)], "text string")
+    assert df.select(V.title()).head()[0] == f"{line} a" and df.select(V.title(V.TITLE)).head()[0] == line[:60]
+
+
 def test_chunk_diff_of_every_pair_with_a_reason(spark, tmp_path):
     long = "Leave policy " + "x" * 60
     texts = ["one two three four five six seven eight", "one two three four five six seven eight\n" + " ".join(f"w{i}" for i in range(40)), f"{long} a\nfirst words", f"{long} A!\nother things", f"{long} b\nno pair of these", "alone"]
