@@ -283,3 +283,19 @@ def test_chat_depth_of_a_long_chain(spark):
     c = spark.createDataFrame([(1, f"c{i}", i, "g", "{}", f"c{i - 1}" if i else None) for i in range(70)], "conv_id long, call_id string, turn long, name string, arguments string, after string")
     got = chat.link_tool_calls(c, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), {"g": {}}).collect()
     assert all(x.depth == 2 * x.turn for x in got)
+
+
+def test_chat_order_over_the_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("no tables here")
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    calls, results = chat.conversation_events(turns, chained=True)
+    got = chat.link_tool_calls(calls, results, chat.REPLY).collect()
+    users = defaultdict(set)
+    for r in turns.filter("role = 'user'").collect():
+        users[r.conv_id].add(r.turn)
+    level = {(c, t): k for c, at in users.items() for k, t in enumerate(sorted(at))}
+    want = Counter((r.conv_id, "call", r.turn, 2 * level[r.conv_id, r.turn]) for r in turns.collect() if r.role == "user")
+    want += Counter((r.conv_id, "result", r.turn, 2 * level[r.conv_id, r.turn - 1] + 1 if (r.conv_id, r.turn - 1) in level else None) for r in turns.collect() if r.role == "assistant")
+    assert Counter((r.conv_id, r.kind, r.turn, r.depth) for r in got) == want and max(level.values()) > 1
