@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import decontam, jaccard, mixing, queries, tokens, toxicity
@@ -19,26 +19,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, score_col="_score").filter(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
+def _row(docs: DataFrame) -> tuple[Column, bool]:
+    """What names a row, and whether rows may repeat it: the id, or where ids are missing or repeated, id and text."""
+    unique = docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty()
+    return (F.col("doc_id") if unique else row_key("doc_id", "text")).alias("_row"), not unique
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id stays, one without an id only where none has one; of rows with one id and text, one.
-    Rows go by id and text, so one that shares only its id with a near copy stays. Rows without words stay."""
-    classes = cut(jaccard.jaccard_classes(docs, keys=True), "classes")
-    # What goes is a list of keys; texts aren't shuffled for it, unless rows repeat.
-    gone = cut(classes.filter("k1 <> kept_k1 OR k2 <> kept_k2").select("k1", "k2").distinct(), "near-copies")
+    Rows go by id and text, so one that shares only its id with a near copy stays. Rows without words and id stay."""
+    row, repeated = _row(docs)
+    classes = cut(jaccard.jaccard_classes(docs.select(row, "text"), "_row").select("_row", "n_shingles", "component_id"), "classes")
+    # What goes is a list of rows' names; texts aren't shuffled for it, unless they repeat.
+    gone = cut(classes.filter("_row <> component_id").select("_row").distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_NODES else gone
-    kept = docs.select("*", *row_key("doc_id", "text")).join(gone, ["k1", "k2"], "left_anti")
-    twice = cut(classes.filter("doc_id IS NOT NULL OR kept_k1 IS NOT NULL").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"), "repeated-rows")
-    if twice.isEmpty():
+    kept = docs.select("*", row).join(gone, "_row", "left_anti")
+    if not repeated:
         return kept.select(*docs.columns)
-    return kept.join(twice, ["k1", "k2"], "left_anti").unionByName(kept.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])).select(*docs.columns)
+    twice = cut(classes.filter("NOT _row.missing OR n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row"), "repeated-rows")
+    return kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, by id and text: with or without an id, and no others that share the id."""
-    marks = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keys=True)
-    gone = cut(marks.filter("contaminated").select("k1", "k2").distinct(), "contaminated")
+    row, _ = _row(docs)
+    marks = decontam.decontaminate(docs.select(row, "text"), _table(spark, sf_dir, "benchmark"), "_row")
+    gone = cut(marks.filter("contaminated").select("_row").distinct(), "contaminated")
     gone = F.broadcast(gone) if gone.count() <= decontam.BROADCAST_ROWS else gone
-    return docs.select("*", *row_key("doc_id", "text")).join(gone, ["k1", "k2"], "left_anti").select(*docs.columns)
+    return docs.select("*", row).join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,9 +85,9 @@ def whole(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """k1 and k2, hashes of a row's id and text that are never null: equal keys mean equal ids and texts."""
-    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's id and text as one value that is never null and sorts by id, rows without one last."""
+    return F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2"))
 
 
 def let(value: Column, body) -> Column:

@@ -27,8 +27,6 @@ BUCKET_BYTES, SALTED = 6 << 20, 512
 BROADCAST_NODES = 1_000_000
 #: Groups up to this size are paired in full at once; larger ones start from the pairs of a few nodes (HUBS), then those that are not yet linked are compared.
 SMALL, HUBS = 3, 3
-#: Orders rows by id, those without one last.
-_FIRST = "struct(id IS NULL AS missing, id, k1, k2)"
 _POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
@@ -73,7 +71,7 @@ def overlap(a, b, percent: int = PERCENT):
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFrame:
-    """A row (id, k1, k2, n, node) per document, and rows (slice, counts) of each task's sketch."""
+    """A row (id, n, node) per document, and rows (slice, counts) of each task's sketch."""
 
     def run(batches) -> Iterator:
         sketch = np.zeros(COUNTERS, np.uint32)
@@ -86,18 +84,18 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFra
                 n = [len(x) for x in sets]
                 nodes = [node_of(x) if len(x) else None for x in sets]
                 k = b - a
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, k) for c in (0, 2, 3)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if some:
             # What a task counts beyond 255 tells no more: the sketch only orders shingles.
             parts = np.array_split(np.minimum(sketch, 255).astype(np.uint8), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), *[pa.nulls(SLICES, pa.int64())] * 4, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
 
-    names = ["id", "k1", "k2", "n", "node", "slice", "counts"]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
+    names = ["id", "n", "node", "slice", "counts"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(rows.schema["id"].dataType)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, node long, slice int, counts binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, node long, slice int, counts binary")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -344,19 +342,15 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     to = F.struct("a", "salt")
     wanted = dealt.select(F.col("b").alias("node"), to.alias("to")).union(dealt.select(F.col("a").alias("node"), to.alias("to")).distinct())
     wanted = wanted.groupBy("node").agg(F.collect_list("to").alias("to"))
-    chosen = nodes.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.expr(_FIRST)).alias("one")).join(wanted, "node")
-    chosen = cut_small(chosen.select("node", "one.missing", "one.k1", "one.k2", "to"), "chosen")
-    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).join(chosen, ["k1", "k2"])
-    if not chosen.filter("missing").isEmpty():  # rows without an id may all have one key
-        texts = texts.filter("NOT missing").unionByName(texts.filter("missing").dropDuplicates(["node"]))
-    texts = texts.select("node", "text", "to")
+    chosen = nodes.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(cut_small(chosen, "chosen"), "id").select("node", "text", "to")
 
     def sets(batches) -> Iterator:
         for batch in batches:
             for first, last, data, offsets in buffers(batch.column(1)):
                 rows, held = [], 0
                 for tokens, node, to in zip(shingle_sets(data, offsets, gram), batch.column(0).slice(first, last - first).to_pylist(), batch.column(2).slice(first, last - first).to_pylist(), strict=True):
-                    if len(tokens) and node_of(tokens) == node:
+                    if len(tokens) and node_of(tokens) == node:  # rows that repeat an id may hold other texts
                         packed = tokens.tobytes()
                         rows += [(x["a"], x["salt"], None if x["a"] == node else node, packed) for x in to]
                         held += len(packed) * len(to)
@@ -399,18 +393,20 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= need
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, keys: bool = False) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id that links reach, its own included); with keys also row_key, and kept_k1 and
-    kept_k2, the key of the row that names its class (null without words).
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the least id that links reach, its own included).
 
     Words are runs without white space (space and \\x09-\\x0D), A-Z lower-cased; a text of fewer than `gram` words is one shingle, one without words
     (null, empty, blank) has none and links with nothing. Documents with equal sets always link. Two sets link when 100 * overlap >= percent * union.
     Rows with a null id take part and form links, but never name a class unless all its ids are null. Repeated rows each give a row. An empty table gives an
     empty result. Other columns are ignored, whatever their names.
     """
+    if not docs.filter(F.col(id_col).isNull()).isEmpty():  # an id names no row then
+        rows = jaccard_classes(docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")), "row", "text", gram, percent)
+        return rows.select(F.col("row.id").alias(id_col), "n_shingles", F.col("component_id.id").alias("component_id"))
     profiles = cut(_profiles(docs, id_col, text_col, gram), "profiles")
-    members = profiles.filter("slice IS NULL").select("id", "k1", "k2", "n", "node")
-    nodes = members.filter("node IS NOT NULL").select("id", "k1", "k2", "node")
+    members = profiles.filter("slice IS NULL").select("id", "n", "node")
+    nodes = members.filter("node IS NOT NULL").select("id", "node")
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     buckets = max(8, -(-total * (100 - percent) // 100 * _POST.itemsize // BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = _groups(docs, text_col, gram, percent, _sketch(profiles), buckets)
@@ -425,10 +421,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = cut(components(links.union(more)), "labels")
     # Classes by node, then the least document of each class: sums before shuffles, so groups of copies never meet in one task.
-    least = nodes.groupBy("node").agg(F.min(F.expr(_FIRST)).alias("least"))
+    least = nodes.groupBy("node").agg(F.min("id").alias("least"))
     classed = least.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "least")
     classed = cut(classed, "classed")
-    names = classed.groupBy("class").agg(F.min("least").alias("first"))
-    named = classed.join(names, "class").select("node", "first")
-    more = ["k1", "k2", F.col("first.k1").alias("kept_k1"), F.col("first.k2").alias("kept_k2")] if keys else []
-    return members.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"), *more)
+    names = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = classed.join(names, "class").select("node", "component_id")
+    return members.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
