@@ -55,32 +55,62 @@ def test_exact(spark, texts):
     assert exact.exact_dedup(docs.limit(0)).count() == 0
 
 
+def covered(data, size):
+    """Of each text, which bytes lie in a string of `size` bytes that also starts elsewhere."""
+    count = Counter(b[i : i + size] for b in data for i in range(len(b) - size + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - size + 1):
+            if count[b[k : k + size]] > 1:
+                gone[k] += 1
+                gone[k + size] -= 1
+        out.append(np.cumsum(gone)[:-1] > 0)
+    return out
+
+
 def test_suffix(spark, texts):
     docs = table(spark, texts)
-    for least, gram, crowd in ((40, 12, 256), (40, 12, 1), (400, 96, 256)):
-        count = Counter()
-        data = [(t or "").encode() for t in texts]
-        for b in data:
-            count.update(b[i : i + least] for i in range(len(b) - least + 1))
-        got = {r.doc_id: r for r in suffix.remove_repeats(docs, least=least, gram=gram, crowd=crowd, stride=8, keep_text=True).collect()}
+    data = [(t or "").encode() for t in texts]
+    for least, passage, gram, crowd in ((40, 40, 12, 256), (40, 24, 12, 256), (40, 24, 12, 1), (400, 256, 48, 256)):
+        gone, repeated = covered(data, least), covered(data, passage)
+        got = {r.doc_id: r for r in suffix.remove_repeats(docs, least=least, passage=passage, gram=gram, crowd=crowd, stride=8, keep_text=True).collect()}
         for i, b in enumerate(data):
-            gone = np.zeros(len(b) + 1, int)
-            for k in range(len(b) - least + 1):
-                if count[b[k : k + least]] > 1:
-                    gone[k] += 1
-                    gone[k + least] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-            assert (got[i].n_bytes, got[i].n_removed, bytes(got[i].kept), got[i].kept_sha256) == (len(b), int(gone.sum()), left, hashlib.sha256(left).hexdigest())
+            left = bytes(x for x, g in zip(b, gone[i], strict=True) if not g)
+            assert (got[i].n_bytes, got[i].n_removed, bytes(got[i].kept), got[i].kept_sha256) == (len(b), int(gone[i].sum()), left, hashlib.sha256(left).hexdigest())
+            assert got[i].n_repeated == int(repeated[i].sum())
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_of_fifty_words_are_counted(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passage = say(52)
+    texts = [f"{say(80)} {passage} {say(70)}", f"{say(30)}. {passage}; {say(200)}", say(150), say(300)]
+    assert 256 < len(passage) < 390
+    got = {r.doc_id: r for r in suffix.remove_repeats(table(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(4)] == [0] * 4
+    assert all(got[i].n_repeated >= len(passage) for i in (0, 1)) and got[2].n_repeated == got[3].n_repeated == 0
+
+
 def test_repeated_windows_with_large_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BATCH_BYTES", 200)
     shared = "".join(random.choice("abcdef") for _ in range(60))
     texts = [shared + "".join(random.choice("uvwxyz") for _ in range(50)) for _ in range(20)]
-    got = suffix.remove_repeats(table(spark, texts), least=50, gram=12, crowd=1, stride=4).collect()
-    assert all(r.n_removed >= 60 for r in got)
+    data = [t.encode() for t in texts]
+    gone, repeated = covered(data, 50), covered(data, 35)
+    for crowd in (1, 256):
+        got = suffix.remove_repeats(table(spark, texts), least=50, passage=35, gram=12, crowd=crowd, stride=4).collect()
+        assert all((r.n_removed, r.n_repeated) == (gone[r.doc_id].sum(), repeated[r.doc_id].sum()) and r.n_removed >= 60 for r in got)
+
+
+def test_suffix_array_by_doubling_and_tripling():
+    rng = np.random.default_rng(2)
+    text = np.append(rng.integers(1, 3, 3000).astype(np.uint8), np.uint8(0))
+    text[1500:2000] = text[:500]
+    want = sorted(range(len(text)), key=lambda i: text[i:].tobytes())
+    assert suffix.suffix_array(text, 4000).tolist() == want
 
 
 def brute_words(t):
