@@ -144,12 +144,12 @@ def powers(n: int, q: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte range of a buffer in O(1) each, equal for equal bytes wherever they lie."""
+    """Hashes of any range of a buffer in O(1) each, equal for equal ranges wherever they lie. table: a value for each byte; None if data are 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, table: np.ndarray = _TABLE) -> None:
+    def __init__(self, data: np.ndarray, table: np.ndarray | None = _TABLE) -> None:
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        part = table[data]
+        part = data.copy() if table is None else table[data]
         part *= powers(n, _Q)
         np.cumsum(part, out=self.sums[1:])
         self.inverse = powers(n + 1, _QI)
@@ -164,6 +164,16 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[: n + 1 - k]) * self.inverse[: n + 1 - k])
 
 
+def minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values (64-bit, unsigned) in a row, by blocks of `width`: the end of one block and the start of the next."""
+    pad = -len(values) % width
+    rows = np.append(values, np.full(pad, ~np.uint64(0))).reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = max(0, len(values) - width + 1)
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
 def buffers(column, most: int = 2 << 20):
     """Of an Arrow string or binary array: (first row, last row, bytes as numpy, offsets into them), about `most` bytes at a time.
     Nulls are empty."""

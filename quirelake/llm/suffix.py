@@ -6,8 +6,7 @@ by their digests. Runs that share an anchor but differ are compared by the metho
 breadth-first backward extension of intervals, which finds common prefixes by increasing length and stops at `least`; what has no shorter
 common prefix with its neighbour by then repeats.
 
-One search serves two lengths: strings of `least` bytes, which are removed, and those of the smaller `passage`, which are counted. Windows are dealt out by
-the anchors of their first `passage` bytes, and the extension takes note of what repeats when it comes by that length.
+Beside that, repeated passages that are too short to be removed are counted by fingerprints of their words (see repeated_passages).
 """
 
 from __future__ import annotations
@@ -21,15 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, cut
+from .common import ALNUM, TABLE_FOLDED, Rolling, buffers, cut, minima, words_in
 
-LEAST, GRAM = 400, 48
-#: Bytes of the repeated passages that are counted beside those removed: some 40 words.
-PASSAGE = 256
+LEAST, GRAM = 400, 96
 #: Runs of one anchor beyond which they are dealt out by their inner parts; windows of such a part.
 CROWD, STRIDE = 256, 64
 #: Bytes of text of a suffix array, about.
 BATCH_BYTES = 1_900_000
+#: Words of a fingerprint, and of the passages that are sure to hold one.
+WORDS, PASSAGE = 32, 50
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -45,13 +44,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int =
     width = least - gram + 1
     place = np.arange(len(h), dtype=np.uint64)
     key = (h & ~_LOW) | (_LOW - place)
-    # Sliding minimum by blocks of `width`: the end of one block and the start of the next.
-    pad = -len(key) % width
-    rows = np.append(key, np.full(pad, ~np.uint64(0))).reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(data) - least + 1
-    at = (_LOW - (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW)).astype(np.int64)
+    at = (_LOW - (minima(key, width) & _LOW)).astype(np.int64)
     # Windows that cross from one row into the next don't count.
     inside = np.zeros(n, bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -91,8 +85,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     times = 3 if n < 1 << 21 else 2
     while length < depth and len(slots):
         at = order[slots]
-        place = rank[at]
-        key = place
+        key = place = rank[at]
         for k in range(1, times):
             key = key * (n + 1) + rank[np.minimum(at + k * length, n)]
         sort = np.argsort(key)
@@ -105,12 +98,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def long_prefixes(text: np.ndarray, order: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
-    """For each of `lengths` (ascending) and each suffix by rank: whether it shares that many bytes with the one before. Bytes 0 end texts; no prefix passes them.
+def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix by rank: whether it shares `least` bytes with the one before. Bytes 0 end texts; no prefix passes them.
 
     Breadth-first over intervals of the suffix array: an interval of strings w, extended by the characters before them in the Burrows-Wheeler
     transform, gives those of cw. The end of an interval that is met for the first time at length l has common prefix l - 1 with its successor. After
-    l steps the ends not met have one of l at least.
+    `least` steps the ends not met have a longer one.
     """
     n = len(text)
     before = text[order - 1]  # the transform
@@ -135,12 +128,9 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, lengths: list[int]) -> li
     lo, hi = np.concatenate(lo), np.concatenate(hi)
     span = 1 << n.bit_length()
     # Intervals so far are of strings of 1 byte: their ends have a common prefix of 0 bytes with what follows.
-    out = []
-    for length in range(1, lengths[-1] + 1):
-        if length in lengths:
-            out.append(~met[:n])
-        if not len(lo) or length == lengths[-1]:
-            continue
+    for _ in range(1, least):
+        if not len(lo):
+            break
         lens = hi - lo + 1
         one = lens == 1
         # Single suffixes: one character goes before.
@@ -165,27 +155,23 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, lengths: list[int]) -> li
         else:
             lo, hi = p, p
         met[hi + 1] = True
-    return out
+    return ~met[:n]
 
 
-def repeated_windows(texts: list[bytes], windows: list[int], lengths: list[int]) -> list[list[np.ndarray]]:
-    """For each of `lengths` and each text, which of the strings of that length that start at its first `windows` places start at such a place of another
-    text, or at another of its own, too."""
+def repeated_windows(texts: list[bytes], least: int = LEAST) -> list[np.ndarray]:
+    """For each text, which of its windows of `least` bytes occur at another place in the texts too."""
+    sizes = [len(x) for x in texts]
     # Bytes go up by one, so that 0 only ends texts; 255, which no UTF-8 has, would wrap.
     joined = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)
-    order = suffix_array(joined, lengths[-1])
-    starts = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]]).tolist()
-    counts = np.zeros(len(joined), bool)
-    for at, n in zip(starts, windows, strict=True):
-        counts[at : at + n] = True
-    counts = counts[order]
-    out = []
-    for same in long_prefixes(joined, order, lengths):
-        group = np.cumsum(~same) - 1
-        twice = np.bincount(group[counts], minlength=group[-1] + 1) > 1
-        found = np.zeros(len(joined), bool)
-        found[order[counts & twice[group]]] = True
-        out.append([found[at : at + n] for at, n in zip(starts, windows, strict=True)])
+    order = suffix_array(joined, least)
+    same = long_prefixes(joined, order, least)
+    twice = same | np.append(same[1:], False)
+    found = np.zeros(len(joined), bool)
+    found[order[twice]] = True
+    out, at = [], 0
+    for n in sizes:
+        out.append(found[at : at + max(0, n - least + 1)])
+        at += n + 1
     return out
 
 
@@ -207,26 +193,23 @@ def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("k"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2"))
 
 
-def _find_runs(docs: DataFrame, least: int, passage: int, gram: int) -> DataFrame:
-    """Runs of windows of `passage` bytes. d1 and d2 digest a run's text, up to the end of its last string of `least` bytes or of the row; m of its n windows start such strings."""
-
+def _find_runs(docs: DataFrame, least: int, gram: int) -> DataFrame:
     def run(batches) -> Iterator:
         for batch in batches:
             for a, b, data, offsets in buffers(batch.column(2)):
-                anchor, at, first, n = runs(data, offsets, passage, gram)
+                anchor, at, first, n = runs(data, offsets, least, gram)
                 row = np.searchsorted(offsets, first, "right") - 1
-                end = np.minimum(first + n + least - 1, offsets[row + 1])
                 view = memoryview(data)
-                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(first.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(first.tolist(), (first + n + least - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a).take(take), batch.column(1).slice(a, b - a).take(take), pa.array(anchor.view(np.int64)),
-                    pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array((first - offsets[row]).astype(np.int64)),
-                    pa.array(n.astype(np.int32)), pa.array(np.maximum(end - first - least + 1, 0).astype(np.int32)), pa.array((at - first).astype(np.int32)),
+                    pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
+                    pa.array((first - offsets[row]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array((at - first).astype(np.int32)),
                 ], names)
 
-    names = ["k", "k2", "anchor", "d1", "d2", "start", "n", "m", "off"]
-    return docs.select("k", "k2", "text").mapInArrow(run, "k long, k2 long, anchor long, d1 long, d2 long, start long, n int, m int, off int")
+    names = ["k", "k2", "anchor", "d1", "d2", "start", "n", "off"]
+    return docs.select("k", "k2", "text").mapInArrow(run, "k long, k2 long, anchor long, d1 long, d2 long, start long, n int, off int")
 
 
 def _bytes(column) -> list[bytes]:
@@ -234,9 +217,8 @@ def _bytes(column) -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def _compare(chosen: DataFrame, docs: DataFrame, lengths: list[int], gram: int, crowd: int, stride: int) -> DataFrame:
-    """(run, length, a, b): places a..b-1 of each chosen run where strings of one of `lengths` start that start at a place of another chosen run of its anchor too, or at another of its own."""
-    passage, least = lengths[0], lengths[-1]
+def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: int, stride: int) -> DataFrame:
+    """(run, a, b): windows a..b-1 of each chosen run that occur in another chosen run of its anchor, or elsewhere in itself."""
     lists = chosen.groupBy("k", "k2").agg(F.collect_list(F.struct("run", "anchor", "start", "n", "off", "many")).alias("runs"))  # of one text
     texts = docs.join(cut(lists, "lists"), ["k", "k2"]).select("text", "runs")
 
@@ -248,18 +230,18 @@ def _compare(chosen: DataFrame, docs: DataFrame, lengths: list[int], gram: int,
                 for r in found:
                     if r["many"] <= crowd:
                         piece = data[r["start"] : r["start"] + r["n"] + least - 1]
-                        out.append((r["anchor"], r["run"], 0, r["n"], piece))
+                        out.append((r["anchor"], r["run"], 0, piece))
                         held += len(piece)
                         continue
                     # A crowd: windows are dealt out by where the anchor lies in them, a stride at a time, and by the bytes that all windows of a part share.
-                    for part in range(-(-(passage - gram + 1) // stride)):
+                    for part in range(-(-(least - gram + 1) // stride)):
                         a, b = max(0, r["off"] - (part + 1) * stride + 1), min(r["n"], r["off"] - part * stride + 1)
                         if a >= b:
                             continue
-                        lo, hi = r["start"] + r["off"] - part * stride, r["start"] + r["off"] - (part + 1) * stride + 1 + passage
+                        lo, hi = r["start"] + r["off"] - part * stride, r["start"] + r["off"] - (part + 1) * stride + 1 + least
                         core = xxhash.xxh3_64_intdigest(data[lo:hi], part) - (1 << 63)
                         piece = data[r["start"] + a : r["start"] + b + least - 1]
-                        out.append((core, r["run"], a, b - a, piece))
+                        out.append((core, r["run"], a, piece))
                         held += len(piece)
                 if held > 4 << 20:
                     yield batch_of(out)
@@ -268,93 +250,121 @@ def _compare(chosen: DataFrame, docs: DataFrame, lengths: list[int], gram: int,
             yield batch_of(out)
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["part", "run", "a", "n", "piece"])
-
-    pieces = texts.select("text", "runs").mapInArrow(extract, "part long, run long, a int, n int, piece binary")
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["part", "run", "a", "piece"])
 
-    def found(rows: list[tuple], flags: list[list[np.ndarray]]):
-        got = [(r[1], length, r[2] + s, r[2] + e) for length, each in zip(lengths, flags, strict=True) for r, f in zip(rows, each, strict=True) for s, e in zip(*map(np.ndarray.tolist, _spans(f)), strict=True)]
-        columns = list(zip(*got, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["run", "length", "a", "b"])
+    pieces = texts.select("text", "runs").mapInArrow(extract, "part long, run long, a int, piece binary")
 
-    def compared(rows: list[tuple]):
-        return found(rows, repeated_windows([r[4] for r in rows], [r[3] for r in rows], lengths))
+    def found(rows: list[tuple], flags: list[np.ndarray]):
+        got = [(r[1], r[2] + s, r[2] + e) for r, f in zip(rows, flags, strict=True) for s, e in zip(*map(np.ndarray.tolist, _spans(f)), strict=True)]
+        columns = list(zip(*got, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["run", "a", "b"])
 
-    def windows(rows: list[tuple]) -> list[list[np.ndarray]]:
-        rolled = [(Rolling(np.frombuffer(r[4], np.uint8)), r[3]) for r in rows]
-        return [[x.windows(length)[:n] for x, n in rolled] for length in lengths]
-
-    def counted(hashes: list[np.ndarray]) -> list[np.ndarray]:
-        _, back, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        return np.split(counts[back] > 1, np.cumsum([len(x) for x in hashes])[:-1])
+    def windows(rows: list[tuple]) -> list[np.ndarray]:
+        return [Rolling(np.frombuffer(r[3], np.uint8)).windows(least) for r in rows]
 
     def search(batches) -> Iterator:
         held: list[tuple] = []  # whole parts, as many as fit a suffix array
         group: list[tuple] = []  # the part at hand
         large: list[tuple] = []  # what it has beyond a suffix array: only its windows' hashes stay
-        hashes: list[list[np.ndarray]] = [[] for _ in lengths]
+        hashes: list[np.ndarray] = []
         size = group_size = 0
 
-        def enlarge(rows: list[tuple]) -> None:
-            large.extend(r[:4] for r in rows)
-            for held_, more in zip(hashes, windows(rows), strict=True):
-                held_ += more
-
         def close():
             nonlocal held, group, large, hashes, size, group_size
             if large:
-                enlarge(group)
-                yield found(large, [counted(x) for x in hashes])
-            else:
+                large += [r[:3] for r in group]
+                hashes += windows(group)
+                _, back, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                yield found(large, np.split(counts[back] > 1, np.cumsum([len(x) for x in hashes])[:-1]))
+            elif len(group) > 1:  # the windows of one run differ
                 if held and size + group_size > BATCH_BYTES:
-                    yield compared(held)
+                    yield found(held, repeated_windows([r[3] for r in held], least))
                     held, size = [], 0
                 held += group
                 size += group_size
-            group, large, hashes, group_size = [], [], [[] for _ in lengths], 0
+            group, large, hashes, group_size = [], [], [], 0
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[0] != group[0][0]:
                     yield from close()
                 group.append(row)
-                group_size += len(row[4])
+                group_size += len(row[3])
                 if group_size > 2 * BATCH_BYTES and len(group) > 1:
-                    enlarge(group[:-1])
-                    group, group_size = group[-1:], len(row[4])
+                    large += [r[:3] for r in group[:-1]]
+                    hashes += windows(group[:-1])
+                    group, group_size = group[-1:], len(row[3])
         if group:
             yield from close()
         if held:
-            yield compared(held)
+            yield found(held, repeated_windows([r[3] for r in held], least))
+
+    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(search, "run long, a int, b int")
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Of a buffer: rows and hashes of its fingerprints, by row. Words are runs of letters and digits, A-Z lower-cased; of the hashes of `words` words in
+    a row, each passage of `passage` words keeps the least, the last of equals."""
+    starts, ends, first = words_in(data, offsets, ALNUM)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(starts) < passage:
+        return none
+    grams = Rolling(Rolling(data, TABLE_FOLDED).ranges(starts, ends), None).windows(words)
+    place = np.arange(len(grams), dtype=np.uint64)
+    at = (_LOW - (minima((grams & ~_LOW) | (_LOW - place), passage - words + 1) & _LOW)).astype(np.int64)
+    # Passages that cross from one row into the next don't count.
+    row = np.searchsorted(first, np.arange(len(at)), "right") - 1
+    inside = np.arange(len(at)) + passage <= first[row + 1]
+    at, row = at[inside], row[inside]
+    fresh = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
+    return row[fresh], grams[at[fresh]]
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS, passage: int = PASSAGE) -> DataFrame:
+    """(k, k2, n_repeated) for rows with any: how many fingerprints of `words` words a row holds that occur at another place too, in it or in another row.
+
+    Every passage of `passage` words or more that occurs twice holds such a fingerprint in both places; one in the table means a string of `words` words that
+    repeats. docs: k, k2, text; rows of one k and k2 are repeats of one another. Sums come before the shuffles; a passage that many rows
+    share is a large key of a join, which AQE splits."""
+
+    def run(batches) -> Iterator:
+        for batch in batches:
+            for a, b, data, offsets in buffers(batch.column(2)):
+                row, found = fingerprints(data, offsets, words, passage)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(take), batch.column(1).slice(a, b - a).take(take), pa.array(found.view(np.int64))], ["k", "k2", "h"])
 
-    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(search, "run long, length int, a int, b int")
+    found = cut(docs.select("k", "k2", "text").mapInArrow(run, "k long, k2 long, h long"), "fingerprints")
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Rows that repeat a row hold the same ones: each counts its own.
+    rows = docs.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    sums = found.join(twice, "h").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"))
+    return sums.join(rows, ["k", "k2"], "left").select("k", "k2", (F.col("n") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_repeated"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, passage: int = PASSAGE, gram: int = GRAM, crowd: int = CROWD, stride: int = STRIDE, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, stride: int = STRIDE, keep_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, and with keep_text the remaining bytes.
 
     Each byte goes that lies in a string of `least` bytes which also starts at another place, in this text or another; strings may overlap and are judged
     on the input. Null texts count as empty; texts of fewer bytes lose none. All copies go, the first too; so repeated rows (same id and text) lose
-    everything that is long enough. n_repeated counts the bytes that lie in a string of `passage` bytes (at most `least`) which also starts at another place; those
-    beyond n_removed stay. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    everything that is long enough. n_repeated counts what repeats but may be too short to be removed (see repeated_passages). An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    passage = min(passage, least)
-    lengths = sorted({passage, least})
     base = _ids(docs, id_col, text_col)
-    found = cut(_find_runs(base, least, passage, gram), "runs")
-    kinds = found.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "k2", "start", "n", "m", "off")).alias("one"))
+    found = cut(_find_runs(base, least, gram), "runs")
+    kinds = found.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "k2", "start", "n", "off")).alias("one"))
     kinds = cut(kinds, "run-kinds")
-    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.max("copies").alias("most")).filter("many > 1").select("anchor", "many")
+    # Where every kind has copies, all windows are known to repeat.
+    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.min("copies").alias("fewest")).filter("many > 1 AND fewest = 1").select("anchor", "many")
     chosen = cut(kinds.join(shared, "anchor").select(F.monotonically_increasing_id().alias("run"), "anchor", "d1", "d2", "many", "one.*"), "shared-runs")
-    partial = _compare(chosen, base, lengths, gram, crowd, stride).join(chosen.select("run", "anchor", "d1", "d2"), "run").drop("run") if not chosen.isEmpty() else None
-    every = F.array(*[F.struct(F.lit(x).alias("length"), F.lit(0).alias("a"), F.col("one.m" if x == least else "one.n").alias("b")) for x in lengths])
-    whole = kinds.filter("copies > 1").select("anchor", "d1", "d2", F.inline(every)).filter("b > 0")
+    partial = _compare(chosen, base, least, gram, crowd, stride).join(chosen.select("run", "anchor", "d1", "d2"), "run").drop("run") if not chosen.isEmpty() else None
+    whole = kinds.filter("copies > 1").select("anchor", "d1", "d2", F.lit(0).alias("a"), F.col("one.n").alias("b"))
     spans = whole if partial is None else whole.unionByName(partial)
-    marks = cut(spans.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "marks")  # at most a run's windows
+    marks = cut(spans.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "marks")  # at most a run's windows
     hits = found.join(marks, ["anchor", "d1", "d2"]).select("k", "k2", "start", "spans")
-    hits = cut(hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits")), "hits")  # of one text
+    hits = hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits"))  # of one text
+    hits = cut(hits.join(repeated_passages(base), ["k", "k2"], "full"), "hits")
     # Rows that repeat an id and text have the hits of each; their spans coincide.
-    both = base.join(hits, ["k", "k2"], "left").select("id", "text", "hits")
+    both = base.join(hits, ["k", "k2"], "left").select("id", "text", "hits", "n_repeated")
     kind = base.schema["id"].dataType.simpleString()
     extra = ", kept binary" if keep_text else ""
 
@@ -363,14 +373,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for data, hits in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if not hits:
-                    rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), 0, data))
+                    rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
                     continue
-                at = np.array([(s["length"], h["start"] + s["a"], h["start"] + s["b"] + s["length"] - 1) for h in hits for s in h["spans"]], np.int64)
-                gone, repeated = (_covered(at[at[:, 0] == x, 1:], len(data)) for x in (least, passage))
+                gone = _covered(np.array([(h["start"] + s["a"], h["start"] + s["b"] + least - 1) for h in hits for s in h["spans"]], np.int64), len(data))
                 left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                rows.append((len(data), int(gone.sum()), len(_spans(gone)[0]), hashlib.sha256(left).hexdigest(), int(repeated.sum()), left))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 if keep_text else 5]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"][: 7 if keep_text else 6])
+                rows.append((len(data), int(gone.sum()), len(_spans(gone)[0]), hashlib.sha256(left).hexdigest(), left))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if keep_text else 4]
+            made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made[:4], batch.column(3).fill_null(0), *made[4:]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"][: 7 if keep_text else 6])
 
     return both.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long{extra}").withColumnRenamed("id", id_col)

@@ -69,40 +69,68 @@ def covered(data, size):
     return out
 
 
+def fingerprints(t, words, passage):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t or ""))
+    data = " ".join(w).encode()
+    return w, suffix.fingerprints(np.frombuffer(data, np.uint8), np.array([0, len(data)]), words, passage)[1].tolist() if data else []
+
+
 def test_suffix(spark, texts):
     docs = table(spark, texts)
     data = [(t or "").encode() for t in texts]
-    for least, passage, gram, crowd in ((40, 40, 12, 256), (40, 24, 12, 256), (40, 24, 12, 1), (400, 256, 48, 256)):
-        gone, repeated = covered(data, least), covered(data, passage)
-        got = {r.doc_id: r for r in suffix.remove_repeats(docs, least=least, passage=passage, gram=gram, crowd=crowd, stride=8, keep_text=True).collect()}
+    prints = [fingerprints(t, suffix.WORDS, suffix.PASSAGE)[1] for t in texts]
+    count = Counter(h for each in prints for h in each)
+    for least, gram, crowd in ((40, 12, 256), (40, 12, 1), (400, 96, 256)):
+        gone = covered(data, least)
+        got = {r.doc_id: r for r in suffix.remove_repeats(docs, least=least, gram=gram, crowd=crowd, stride=8, keep_text=True).collect()}
         for i, b in enumerate(data):
             left = bytes(x for x, g in zip(b, gone[i], strict=True) if not g)
             assert (got[i].n_bytes, got[i].n_removed, bytes(got[i].kept), got[i].kept_sha256) == (len(b), int(gone[i].sum()), left, hashlib.sha256(left).hexdigest())
-            assert got[i].n_repeated == int(repeated[i].sum())
+            assert got[i].n_repeated == sum(count[h] > 1 for h in prints[i])
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_each_count_their_own_passages(spark):
+    text = " ".join(f"v{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "lone " + text.replace("v", "u"))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_repeated) for r in suffix.remove_repeats(docs).collect())
+    n = len(fingerprints(text, suffix.WORDS, suffix.PASSAGE)[1])
+    assert n > 0 and got == [(1, n), (1, n), (2, 0)]
+
+
 def test_passages_of_fifty_words_are_counted(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
     say = lambda n: " ".join(word() for _ in range(n))
-    passage = say(52)
-    texts = [f"{say(80)} {passage} {say(70)}", f"{say(30)}. {passage}; {say(200)}", say(150), say(300)]
-    assert 256 < len(passage) < 390
+    passages = [say(50) for _ in range(20)]
+    texts = [f"{say(80)} {p}, {say(i)}" for i, p in enumerate(passages)] + [f"{say(i)}. {p.upper()}; {say(60)}" for i, p in enumerate(passages)] + [say(150), say(300), f"{say(70)} {' '.join(passages[0].split()[:31])} {say(70)}"]
+    assert all(len(p) < 390 for p in passages)
     got = {r.doc_id: r for r in suffix.remove_repeats(table(spark, texts)).collect()}
-    assert [got[i].n_removed for i in range(4)] == [0] * 4
-    assert all(got[i].n_repeated >= len(passage) for i in (0, 1)) and got[2].n_repeated == got[3].n_repeated == 0
+    assert all(r.n_removed == 0 for r in got.values())
+    assert all(got[i].n_repeated > 0 for i in range(40)) and all(got[i].n_repeated == 0 for i in range(40, 43))
+
+
+def test_fingerprints_against_brute_force():
+    rng = random.Random(4)
+    for n in (0, 4, 5, 9, 60):
+        t = " ".join(rng.choice(WORDS[:6]) for _ in range(n))
+        w, got = fingerprints(t, 5, 9)
+        pairs = {}
+        for k in range(len(w) - 4):
+            data = " ".join(w[k : k + 9]).encode()
+            if k + 9 <= len(w):
+                pairs[k] = suffix.fingerprints(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 5, 9)[1].tolist()
+        assert all(len(x) == 1 for x in pairs.values()) and set(got) == {x[0] for x in pairs.values()}
 
 
 def test_repeated_windows_with_large_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BATCH_BYTES", 200)
     shared = "".join(random.choice("abcdef") for _ in range(60))
     texts = [shared + "".join(random.choice("uvwxyz") for _ in range(50)) for _ in range(20)]
-    data = [t.encode() for t in texts]
-    gone, repeated = covered(data, 50), covered(data, 35)
+    gone = covered([t.encode() for t in texts], 50)
     for crowd in (1, 256):
-        got = suffix.remove_repeats(table(spark, texts), least=50, passage=35, gram=12, crowd=crowd, stride=4).collect()
-        assert all((r.n_removed, r.n_repeated) == (gone[r.doc_id].sum(), repeated[r.doc_id].sum()) and r.n_removed >= 60 for r in got)
+        got = suffix.remove_repeats(table(spark, texts), least=50, gram=12, crowd=crowd, stride=4).collect()
+        assert all(r.n_removed == gone[r.doc_id].sum() >= 60 for r in got)
 
 
 def test_suffix_array_by_doubling_and_tripling():
