@@ -7,23 +7,32 @@ import string
 import zlib
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, new_dir, release, small_batches, whole
+from .common import Rolling, buffers, cut, new_dir, release, small_batches, whole
 
-#: Pieces of text, and words in lower case, whose ids a Python worker keeps (some 200 bytes each); when full, each starts anew.
-PIECES, WORDS = 150_000, 250_000
+#: Words in lower case whose ids a Python worker keeps (some 40 bytes each), and pieces that aren't such words (some 200 bytes each); when full, each starts anew.
+WORDS, PIECES = 1_000_000, 100_000
+#: Bytes of text that are encoded at once, about.
+BATCH_BYTES = 4 << 20
 END_ID = 2
 _workers: dict = {}
+#: Latin letters below U+0250, without the one whose lower case is two characters.
+LATIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
+#: For a second hash of words, independent of the first.
+_CHECK = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Pieces(dict):
     """Ids of pieces, found when they are first asked for."""
 
     def __init__(self, find) -> None:
-        super().__init__({"": b""})
+        super().__init__()
         self.find = find
 
     def __missing__(self, piece: str) -> bytes:
@@ -31,11 +40,26 @@ class _Pieces(dict):
         return ids
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    ends = np.cumsum(counts)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(starts - (ends - counts), counts)
+    return at
+
+
+def laid_out(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids one after the other, and where each begins and how many they are."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.frombuffer(b"".join(ids), np.int32), np.cumsum(counts) - counts, counts
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer that treats white space as a boundary.
+    """Token ids of texts, by a tokenizer that treats white space as a boundary.
 
-    Texts are cut at blanks and line ends only; each distinct piece is encoded once and kept. That equals encoding the whole text for
-    tokenizers that drop white space and whose patterns do not cross it, such as word_bpe_49k (checked in the tests).
+    Texts are cut at white space only; of the pieces of a batch each distinct one is encoded once. That equals encoding the whole text for
+    tokenizers that drop white space and whose patterns do not cross it, such as word_bpe_49k (checked in the tests). Most pieces are a word
+    of Latin letters with marks behind: words are kept in lower case, sorted by a hash of 128 bits, from one batch to the next.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,42 +70,83 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.tokenize = self.model.model.tokenize
-        self.words: dict[str, bytes] = {}
-        self.marks = _Pieces(self.slow)
+        self.odd, self.marks = _Pieces(self.slow), _Pieces(self.slow)
+        self.forget()
         # Whether letters and marks are apart, case is dropped and the model takes bytes as characters; if not, pieces go to the tokenizer as they are.
         parts = json.loads(self.model.to_str())
         steps = [x["type"] for k in ("normalizer", "pre_tokenizer") for x in (parts[k] or {}).get("normalizers", (parts[k] or {}).get("pretokenizers", ()))]
-        self.known = _Pieces(self.fast if steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] else self.slow)
+        self.latin = LATIN if steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] else "a^"
         # Byte-level models write bytes as characters: those that print as themselves, the others from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
+    def forget(self) -> None:
+        """Words: hash, second hash, and where their ids begin and how many they are."""
+        self.words = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        self.ids = np.zeros(0, np.int32)
+
     def slow(self, piece: str) -> bytes:
         return array("I", self.model.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def fast(self, piece: str) -> bytes:
-        """Most pieces are a word of Latin letters, perhaps with marks behind: the word is looked up in lower case or given to the model itself."""
-        word = piece.rstrip(string.punctuation)
-        low = word.lower()
-        ids = self.words.get(low)
-        if ids is None:
-            if not (word.isalpha() and low.isalpha() and max(low) < "\u0250"):
-                return self.slow(piece)
-            text = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
-            self.words[low] = ids = array("I", [x.id for x in self.tokenize(text)]).tobytes()
-        return ids + self.marks[piece[len(word) :]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > PIECES:
-            self.known.clear()
-            self.known[""] = b""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.marks) > PIECES:
-            self.marks.clear()
-            self.marks[""] = b""
-        get = self.known.__getitem__
-        return [b"".join(map(get, x.replace("\n", " ").split(" "))) for x in texts]
+    def fast(self, word: str) -> bytes:
+        """A word of Latin letters in lower case, given to the model itself."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [x.id for x in self.tokenize(text)]).tobytes()
+
+    def places(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct words begin in self.ids, and how many they are. Words that aren't there yet are encoded."""
+        starts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        h, check = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+        for a, b, data, offsets in buffers(words):
+            h[a:b], check[a:b] = (Rolling(data, *table).ranges(offsets[:-1], offsets[1:]) for table in ((), (_CHECK,)))
+        if len(self.words[0]):
+            at = np.minimum(np.searchsorted(self.words[0], h), len(self.words[0]) - 1)
+            there = (self.words[0][at] == h) & (self.words[1][at] == check)
+            starts[there], counts[there] = self.words[2][at[there]], self.words[3][at[there]]
+        else:
+            there = np.zeros(len(words), bool)
+        if not there.all():
+            new = np.flatnonzero(~there)
+            ids, first, n = laid_out([self.fast(w) for w in words.take(pa.array(new)).to_pylist()])
+            starts[new], counts[new] = first + len(self.ids), n
+            self.ids = np.concatenate([self.ids, ids])
+            new = new[np.argsort(h[new])]
+            at = np.searchsorted(self.words[0], h[new])
+            self.words = tuple(np.insert(x, at, y[new].astype(x.dtype)) for x, y in zip(self.words, (h, check, starts, counts), strict=True))
+        return starts, counts
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts, one text after the other, and how many each has."""
+        if len(self.words[0]) > WORDS:
+            self.forget()
+        for kept in (self.odd, self.marks):
+            if len(kept) > PIECES:
+                kept.clear()
+        lists = pc.ascii_split_whitespace(texts)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.flatten().dictionary_encode()
+        distinct, at = pieces.dictionary, pieces.indices.to_numpy()
+        trimmed = pc.utf8_rtrim(distinct, characters=string.punctuation)
+        latin = pc.match_substring_regex(trimmed, self.latin)
+        words = pc.utf8_lower(trimmed.filter(latin)).dictionary_encode()
+        tails = pc.replace_substring_regex(distinct.filter(latin), pattern=r"^[^!-/:-@\[-`{-~]+", replacement="").dictionary_encode()
+        starts, counts = self.places(words.dictionary)
+        mark_ids, mark_starts, mark_counts = laid_out([self.marks[x] for x in tails.dictionary.to_pylist()])
+        odd_ids, odd_starts, odd_counts = laid_out([self.odd[x] for x in distinct.filter(pc.invert(latin)).to_pylist()])
+        # Each distinct piece is a word and its marks, or an odd one and nothing.
+        all_ids = np.concatenate([self.ids, mark_ids, odd_ids])
+        is_latin = latin.to_numpy(zero_copy_only=False)
+        first, size = np.zeros((len(distinct), 2), np.int64), np.zeros((len(distinct), 2), np.int64)
+        w, t = words.indices.to_numpy(), tails.indices.to_numpy()
+        first[is_latin] = np.stack([starts[w], mark_starts[t] + len(self.ids)], 1)
+        size[is_latin] = np.stack([counts[w], mark_counts[t]], 1)
+        first[~is_latin, 0], size[~is_latin, 0] = odd_starts + len(self.ids) + len(mark_ids), odd_counts
+        all_ids = all_ids[spread(first.ravel(), size.ravel())]
+        size = size.sum(1)
+        first = np.cumsum(size) - size
+        each = size[at]
+        before = np.append(0, np.cumsum(each))[offsets - offsets[0]]
+        return all_ids[spread(first[at], each)], np.diff(before)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -99,25 +164,21 @@ def write_token_ids(docs: DataFrame, to: str, tokenizer: str, id_col: str = "doc
     look-ups by stripe; ids are stored with integer run-length encoding by ORC's writer. Task attempts write to temporary names that the
     job's committer moves, so lost executors leave nothing behind.
     """
-    import pyarrow as pa
-
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
     keys = [F.col("doc_id"), F.xxhash64("text")]  # the hash parts rows that share an id; long texts would all be sampled
     spread = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    tail = end_id.to_bytes(4, "little")
 
     def ids(batches):
-        import numpy as np
-
         release()
         coder = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = [x + tail for x in coder.encode(part.column(1).to_pylist())]
-                lengths = np.array([0, *(len(x) // 4 for x in got)], np.int32)
-                values = pa.array(np.frombuffer(b"".join(got), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), values)], ["doc_id", "ids"])
+            for a, b, _, _ in buffers(batch.column(1), BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                values, lengths = coder.encode(part.column(1))
+                ends = np.cumsum(lengths)
+                values = np.insert(values, ends, end_id)
+                starts = np.append(0, ends + np.arange(1, len(ends) + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = spread.sortWithinPartitions(*keys).mapInArrow(ids, f"doc_id {kind}, ids array<int>")
@@ -135,11 +196,7 @@ def read_token_ids(spark: SparkSession, at: str) -> DataFrame:
 
 def token_index(spark: SparkSession, at: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of all ids as little-endian 32-bit)."""
-    import pyarrow as pa
-
     def sums(batches):
-        import numpy as np
-
         from quirelake.llm import tokens
 
         tokens._workers.clear()  # encoders have done their work

@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,12 +110,20 @@ def test_tokens_equal_the_tokenizer(spark, tmp_path):
 
 
 def test_caches_that_fill_up_change_nothing(monkeypatch):
-    texts = [filler(40) for _ in range(20)]
-    whole = tokens.WordEncoder(queries.tokenizer_path()).encode(texts)
-    monkeypatch.setattr(tokens, "PIECES", 3)
-    monkeypatch.setattr(tokens, "WORDS", 3)
-    small = tokens.WordEncoder(queries.tokenizer_path())
-    assert [x for t in texts for x in small.encode([t])] == whole
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [*(x or "" for x in ODD), *(filler(40) for _ in range(20))]
+    want = [model.encode(x, add_special_tokens=False).ids for x in texts]
+    for words, pieces, step in ((10**6, 10**5, 100), (10**6, 10**5, 1), (3, 3, 1), (3, 3, 5)):
+        monkeypatch.setattr(tokens, "PIECES", pieces)
+        monkeypatch.setattr(tokens, "WORDS", words)
+        coder = tokens.WordEncoder(queries.tokenizer_path())
+        got = []
+        for at in range(0, len(texts), step):
+            values, lengths = coder.encode(pa.array(texts).slice(at, step))
+            got += [x.tolist() for x in np.split(values, np.cumsum(lengths)[:-1])]
+        assert got == want
 
 
 # ------------------------------------------------------------------ toxicity
