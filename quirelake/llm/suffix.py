@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, TABLE_FOLDED, Rolling, buffers, cut, minima, words_in
+from .common import ALNUM, TABLE_FOLDED, Rolling, buffers, cut, cut_small, minima, release, words_in
 
 LEAST, GRAM = 400, 96
 #: Runs of one anchor beyond which they are dealt out by their inner parts; windows of such a part.
@@ -263,6 +263,7 @@ def _compare(chosen: DataFrame, docs: DataFrame, least: int, gram: int, crowd: i
         return [Rolling(np.frombuffer(r[3], np.uint8)).windows(least) for r in rows]
 
     def search(batches) -> Iterator:
+        release()
         held: list[tuple] = []  # whole parts, as many as fit a suffix array
         group: list[tuple] = []  # the part at hand
         large: list[tuple] = []  # what it has beyond a suffix array: only its windows' hashes stay
@@ -328,6 +329,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, passage: int = PASSAG
     share is a large key of a join, which AQE splits."""
 
     def run(batches) -> Iterator:
+        release()
         for batch in batches:
             for a, b, data, offsets in buffers(batch.column(2)):
                 row, found = fingerprints(data, offsets, words, passage)
@@ -335,7 +337,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, passage: int = PASSAG
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(take), batch.column(1).slice(a, b - a).take(take), pa.array(found.view(np.int64))], ["k", "k2", "h"])
 
     found = cut(docs.select("k", "k2", "text").mapInArrow(run, "k long, k2 long, h long"), "fingerprints")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    twice = cut_small(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated-fingerprints")
     # Rows that repeat a row hold the same ones: each counts its own.
     rows = docs.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     sums = found.join(twice, "h").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"))
@@ -369,6 +371,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = ", kept binary" if keep_text else ""
 
     def apply(batches) -> Iterator:
+        release()
         for batch in batches:
             rows = []
             for data, hits in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
