@@ -134,7 +134,7 @@ def term_spans(disclosing: DataFrame, texts: DataFrame, shortest: int = SHORTEST
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, threshold: float = DISCLOSURE, smooth: float = SMOOTH, with_text: bool = False) -> DataFrame:
-    """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, and with_text the sanitised text.
+    """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_base (base spans of all kinds), and with_text the sanitised text.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, comma-joined; code points, end exclusive. Base spans are the
     patterns' matches. A term that discloses any entity is marked in all texts, with base spans or without, wherever it does not overlap a base span.
@@ -154,7 +154,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         both = all_.join(marks, ["t1", "t2"], "left").withColumn("more", F.when(F.col("_terms").isNull(), F.slice("spans", 1, 0)).otherwise(clear)).drop("_terms")
     name = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = [F.col("id").alias(id_col), *map(count, ("email", "ip", "card", "phone")), F.sha2(name(F.col("spans")).cast("binary"), 256).alias("base_sha256"), name(F.concat("spans", "more")).alias("spans"), F.size("more").cast("long").alias("n_term")]
+    out = [F.col("id").alias(id_col), *map(count, ("email", "ip", "card", "phone")), F.sha2(name(F.col("spans")).cast("binary"), 256).alias("base_sha256"), name(F.concat("spans", "more")).alias("spans"), F.size("more").cast("long").alias("n_term"), F.size("spans").cast("long").alias("n_base")]
     return both.select(*out, *([sanitised(F.col("text"), F.concat("spans", "more")).alias("sanitised")] if with_text else []))
 
 
