@@ -348,7 +348,7 @@ def test_chat_order_over_the_whole_table(spark):
     if not os.path.exists(d):
         pytest.skip("no tables here")
     turns = spark.read.parquet(f"{d}/conversations.parquet")
-    calls, results = chat.conversation_events(turns, chained=True)
+    calls, results = chat.conversation_events(turns, span=2)
     got = chat.link_tool_calls(calls, results, chat.REPLY).collect()
     users = defaultdict(set)
     for r in turns.filter("role = 'user'").collect():
