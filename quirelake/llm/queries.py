@@ -40,7 +40,7 @@ def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return suffix.remove_repeats(_read(spark, d, "documents"))
+    return suffix.remove_repeats(_read(spark, d, "documents"), passages=False)
 
 
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:

@@ -344,8 +344,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, passage: int = PASSAG
     return sums.join(rows, ["k", "k2"], "left").select("k", "k2", (F.col("n") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_repeated"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, stride: int = STRIDE, keep_text: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, and with keep_text the remaining bytes.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, stride: int = STRIDE, keep_text: bool = False, passages: bool = True) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, with passages n_repeated, and with keep_text the remaining bytes.
 
     Each byte goes that lies in a string of `least` bytes which also starts at another place, in this text or another; strings may overlap and are judged
     on the input. Null texts count as empty; texts of fewer bytes lose none. All copies go, the first too; so repeated rows (same id and text) lose
@@ -364,7 +364,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = cut(spans.groupBy("anchor", "d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "marks")  # at most a run's windows
     hits = found.join(marks, ["anchor", "d1", "d2"]).select("k", "k2", "start", "spans")
     hits = hits.groupBy("k", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("hits"))  # of one text
-    hits = cut(hits.join(repeated_passages(base), ["k", "k2"], "full"), "hits")
+    if passages:
+        hits = cut(hits.join(repeated_passages(base), ["k", "k2"], "full"), "hits")
+    else:
+        hits = cut(hits, "hits").withColumn("n_repeated", F.lit(None).cast("long"))
     # Rows that repeat an id and text have the hits of each; their spans coincide.
     both = base.join(hits, ["k", "k2"], "left").select("id", "text", "hits", "n_repeated")
     kind = base.schema["id"].dataType.simpleString()
@@ -386,4 +389,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made[:4], batch.column(3).fill_null(0), *made[4:]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"][: 7 if keep_text else 6])
 
-    return both.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long{extra}").withColumnRenamed("id", id_col)
+    return both.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long{extra}").withColumnRenamed("id", id_col).drop(*([] if passages else ["n_repeated"]))
