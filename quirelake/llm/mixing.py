@@ -21,6 +21,8 @@ BLOCK, SHARD = 128, 4096
 #: Parts of each source whose running sums are made side by side.
 PARTS = 512
 ROUNDS = 8
+#: Steps (of SHARD slots) that a task lays out, and the most tasks for it.
+STEPS, TASKS = 32, 20_000
 _P = 2147483647  # a prime; products of two values below it fit a long
 
 
@@ -91,7 +93,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = plan.withColumns({"passes": F.floor(F.col("take") / F.col("words")), "over": F.col("take") % F.col("words")})
     plan = plan.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("over") / block))
     plan = plan.withColumns({"base": F.sum("slots").over(Window.orderBy("rank")) - F.col("slots"), "all": F.sum("slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    steps = plan.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / shard))).alias("step")).repartition("rank", "step")
+    steps = plan.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / shard))).alias("step"))
+    # A row of steps becomes `shard` rows, so their number of tasks is stated: by bytes they would be coalesced into one.
+    n = plan.agg(F.sum(F.ceil(F.col("slots") / shard))).first()[0] or 1
+    steps = steps.repartition(int(min(-(-n // STEPS), TASKS)), "rank", "step")
     slots = steps.select("*", F.explode(F.sequence(F.col("step") * shard, F.least((F.col("step") + 1) * shard, F.col("slots")) - 1)).alias("k"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     place = permuted(F.col("base") + F.col("k"), F.col("all"), F.lit(seed))
