@@ -284,7 +284,7 @@ def _docs(spark, d, title=V.TITLE):
 @query(f"WITH {PAIRS} SELECT a, b, jaccard, a_in_b, b_in_a FROM ps WHERE jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75")
 def near_duplicates(spark, d):
     rows = D.shingle_rows(V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
-    found = D.similarity(D.overlaps(rows), rows)
+    found = D.near_pairs(rows, 0.6)
     return found.filter("jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75")
 
 

@@ -2,6 +2,7 @@ import random
 import zipfile
 from collections import Counter
 from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,52 @@ def test_chunk_diff(spark):
     assert rows(D.chunk_diff(pairs, chunks), "a", "b", "only_a", "only_b") == [(1, 2, 1, 2)]
 
 
+def test_pairs_by_rare_shingles(spark):
+    """Against all pairs in plain Python: copies, near copies, parts of others, short texts, texts without words."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60))] for _ in range(12)]
+    texts = [" ".join(x) for x in base] + ["", "  "]
+    for x in base:
+        for _ in range(4):
+            y = x[rng.randrange(3) :] + [f"v{rng.randrange(9)}" for _ in range(rng.randrange(4))]
+            if y and rng.random() < 0.5:
+                y[rng.randrange(len(y))] = "new"
+            texts.append(" ".join(y))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in (t.split() for t in texts)]
+    want = set()
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            m = len(sets[a] & sets[b])
+            if m:
+                j, x, y = (float(Decimal(m / k).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for k in (len(sets[a] | sets[b]), len(sets[a]), len(sets[b])))
+                if j >= 0.6 or max(x, y) >= 0.75:
+                    want.add((a, b, j, x, y))
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    near = D.near_pairs(D.shingle_rows(docs), 0.6).filter("jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75")
+    assert set(rows(near, "a", "b", "jaccard", "a_in_b", "b_in_a")) == want and len(want) > 30
+    more = spark.createDataFrame([(0, 1), (12, 13)], "a int, b int")
+    assert {(0, 1), (12, 13)} <= set(rows(D.near_pairs(D.shingle_rows(docs), 0.6, more), "a", "b"))
+    assert D.near_pairs(D.shingle_rows(docs.limit(0)), 0.6).count() == 0
+
+
+def test_chunk_diff_against_all_pairs_of_chunks(spark):
+    """Equal chunks, repeated ones, near ones (one word more in many) and chunks of other documents, against each chunk with each."""
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (1, 3, 5, 12, 20, 30, 30, 40, 60)]
+    pool += [t + " end" for t in pool] + ["start " + t for t in pool[-3:]] + [pool[7].replace(" ", " x ", 1), "a b a b a b a b", "a b a b a b a b a b", ""]
+    held = {d: [rng.choice(pool) for _ in range(rng.randrange(9))] for d in range(12)}
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))}
+    like = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) >= 0.9
+    lone = lambda a, b: sum(1 for x in held[a] if x and not any(like(x, y) for y in held[b] if y))
+    pairs = [(a, b) for a in held for b in held if a < b] + [(3, 99)]
+    held[99] = []
+    chunks = spark.createDataFrame([(d, i, t) for d, ts in held.items() for i, t in enumerate(ts)], "document_id int, seq int, text string")
+    got = D.chunk_diff(spark.createDataFrame(pairs, "a int, b int"), chunks)
+    assert rows(got, "a", "b", "only_a", "only_b") == sorted((a, b, lone(a, b), lone(b, a)) for a, b in pairs)
+    near = lambda a, b: any(x != y and like(x, y) for x in held[a] for y in held[b] if x and y)
+    assert any(near(a, b) for a, b in pairs)
+
+
 def test_upload_candidates_by_every_reason(spark):
     base = "one two three four five six seven eight nine ten"
     made = lambda rows: (lambda x: x.join(D.fingerprint(x.withColumn("seq", F.lit(0))), "document_id"))(spark.createDataFrame(rows, "document_id int, source_file string, title string, text string, status string"))
