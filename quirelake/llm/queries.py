@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, jaccard, mixing, pii, suffix, tokens, toxicity, warc
+from . import chat, decontam, exact, jaccard, mixing, pii, resample, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -67,9 +67,13 @@ def op10_token_output(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_output(_read(spark, d, "documents"), tokenizer_path())
 
 
+def op11_resample(spark: SparkSession, d: str) -> DataFrame:
+    return resample.importance_resample(_read(spark, d, "documents"), _read(spark, d, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, chat_call_order, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output)
+    for f in (op1_chat_formatting, chat_call_order, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output, op11_resample)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,6 +81,16 @@ _WORDS5 = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _WORDS7 = rf"regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+')"
 
+# CRC-32 of a text: its bytes one after the other through the table that the polynomial gives.
+_CRC_TABLE = "ct AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_of)"
+
+
+def _crc(text: str) -> str:
+    """Needs crc_of of _CRC_TABLE."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, crc_of[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": """
 WITH c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
@@ -148,4 +162,14 @@ e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_resample": f"""
+WITH {_CRC_TABLE}, d AS MATERIALIZED (SELECT doc_id, {_WORDS5} AS w FROM documents), b AS (SELECT {_WORDS5} AS w FROM benchmark),
+f AS (SELECT unnest(w) AS x, 1 AS raw FROM d UNION ALL SELECT unnest(w), 0 FROM b), n AS MATERIALIZED (SELECT x, sum(raw) AS s, sum(1 - raw) AS t FROM f GROUP BY x),
+k AS MATERIALIZED (SELECT x, s AS sx, n.t AS tx, {_crc('x')} % 10000 AS bucket FROM n, ct), u AS MATERIALIZED (SELECT bucket, CAST(sum(sx) AS DOUBLE) AS s, CAST(sum(tx) AS DOUBLE) AS t FROM k GROUP BY bucket),
+a AS (SELECT sum(s) AS sa, sum(t) AS ta FROM u), g AS MATERIALIZED (SELECT x, CAST(floor(1000 * ln((t + 1) * (sa + 10000) / ((s + 1) * (ta + 10000)))) AS BIGINT) AS gain FROM k JOIN u USING (bucket), a),
+v AS (SELECT doc_id, sum(gain) AS weight FROM (SELECT doc_id, unnest(w) AS x FROM d) JOIN g USING (x) GROUP BY doc_id),
+r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN v USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM r),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN p USING (doc_id)""",
 }
