@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, jaccard, mixing, pii, resample, suffix, tokens, toxicity, warc
+from . import chat, decontam, exact, jaccard, mixing, pii, resample, spelling, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -71,9 +71,13 @@ def op11_resample(spark: SparkSession, d: str) -> DataFrame:
     return resample.importance_resample(_read(spark, d, "documents"), _read(spark, d, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, chat_call_order, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output, op11_resample)
+    for f in (op1_chat_formatting, chat_call_order, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output, op11_resample, op12_spelling)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,4 +176,15 @@ r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight,
 z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM r),
 p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN p USING (doc_id)""",
+    "op12_spelling": f"""
+WITH RECURSIVE {_CRC_TABLE}, r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS MATERIALIZED (SELECT run, n AS k, {_crc("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL), ct),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM u),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS v FROM w, unnest(range(1, length(word) + 1)) AS q(i)),
+l AS (SELECT a.word, a.n, b.word AS other, b.n AS k FROM x a JOIN x b ON a.v = b.v AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, a.n, b.word, b.n FROM x a JOIN w b ON a.v = b.word UNION SELECT b.word, b.n, a.word, a.n FROM x a JOIN w b ON a.v = b.word),
+f AS MATERIALIZED (SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, CASE WHEN k >= 2 * n THEN other END AS form, CASE WHEN k >= 2 * n THEN k END AS form_n FROM l QUALIFY row_number() OVER (PARTITION BY word ORDER BY k DESC, other) = 1),
+c AS (SELECT word, form AS reached, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.reached WHERE f.form IS NOT NULL),
+e AS (SELECT word, max_by(reached, step) AS root FROM c GROUP BY word)
+SELECT word, w.n, form, form_n, coalesce(root, word) AS root, coalesce(n_near, 0) AS n_near FROM w LEFT JOIN f USING (word) LEFT JOIN e USING (word)""",
 }

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import resample
+from quirelake.llm import resample, spelling
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, n long, id long, weight long"
@@ -69,3 +69,63 @@ def test_resample_empty_tables(spark):
     got = resample.importance_resample(docs, items, least_words=1, share=10).collect()
     assert sorted(r["rank"] for r in got if r["rank"]) == [1, 2, 3] and {r.n_features for r in got} == {3}
     assert [f.name for f in resample.importance_resample(docs, docs).schema] == ["doc_id", "n_features", "weight", "score", "rank"]
+
+
+# ------------------------------------------------------------------ spelling variants
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def counted(rows, least_length, least_count, every):
+    n = Counter()
+    for i, text in rows:
+        for run in LETTERS.findall(text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run] += 1
+    return {w: k for w, k in n.items() if len(w) >= least_length and k >= least_count}
+
+
+def near(x, y):
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y, strict=True)) == 1
+    x, y = sorted((x, y), key=len)
+    return len(y) == len(x) + 1 and any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+
+def variants(n, ratio):
+    by = {w: [x for x in n if abs(len(x) - len(w)) <= 1 and near(w, x)] for w in n}
+    best = {w: min(v, key=lambda x: (-n[x], x)) for w, v in by.items() if v}
+    form = {w: x for w, x in best.items() if n[x] >= ratio * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return sorted(repr((w, n[w], form.get(w), n[form[w]] if w in form else None, root(w), len(by[w]))) for w in n)
+
+
+@pytest.mark.parametrize("crowd, batch", [(20_000, 40_000), (4, 7), (1, 1000)])
+def test_spelling(spark, crowd, batch):
+    stems = ["gramatic", "aaaaaa", "aaaaaaa", "abababab", "été" * 3, "x" * 300, *("".join(random.choices("abc", k=random.randint(5, 8))) for _ in range(60))]
+    words = list(stems)
+    for w in stems:
+        for _ in range(4):
+            i, c = random.randrange(len(w) + 1), random.choice("abcé")
+            words.append(random.choice([w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :]]))
+    texts = [None, "", "12 34", "ÉTÉété", *(" ".join(random.choice([x, x.upper()]) + random.choice("., 7") for x in random.choices(words, weights=[1 / (k + 1) for k in range(len(words))], k=90)) for _ in range(40))]
+    rows = [*enumerate(texts), (None, texts[5]), (None, texts[5]), (3, texts[6])]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = spelling.spelling_variants(docs, every=11, crowd=crowd, batch_rows=batch).collect()
+    want = variants(counted(rows, 5, 3, 11), 2)
+    assert sorted(repr((r.word, r.n, r.form, r.form_n, r.root, r.n_near)) for r in got) == want and len(want) > 50
+    assert any(r.root not in (r.word, r.form) for r in got)
+
+
+def test_spelling_long_words_and_no_words(spark):
+    long = "".join(random.choices("ab", k=3000))
+    other, longer = long[:2500] + "c" + long[2501:], long[:100] + "z" + long[100:]
+    got = {r.word: r for r in spelling.spelling_variants(documents(spark, [f"{long} {other} {longer}"] * 3), every=10**9).collect()}
+    assert {w: r.n_near for w, r in got.items()} == {long: 2, other: 1, longer: 1}
+    assert spelling.spelling_variants(documents(spark, [None, "", "a b"])).count() == 0
