@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, jaccard, mixing, pii, resample, spelling, suffix, tokens, toxicity, warc
+from . import chat, decontam, exact, jaccard, licenses, mixing, pii, resample, spelling, suffix, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -75,9 +75,13 @@ def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
     return spelling.spelling_variants(_read(spark, d, "documents"))
 
 
+def op13_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, chat_call_order, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output, op11_resample, op12_spelling)
+    for f in (op1_chat_formatting, chat_call_order, op2_warc, op3_exact_dedup, op4_suffix_dedup, op5_decontamination, op6_pii, op7_ngram_jaccard, op8_toxicity, op9_mixing, op10_token_output, op11_resample, op12_spelling, op13_licenses)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -95,6 +99,8 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, crc_of[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
+_TEMPLATES = ", ".join("({}, '{}', {}, '{}')".format(i, label, base, text.replace("'", "''")) for i, (label, text, base) in enumerate([*((*p, True) for p in licenses.PHRASES), *((*n, False) for n in licenses.NOTICES)]))
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": """
 WITH c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
@@ -187,4 +193,14 @@ f AS MATERIALIZED (SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near,
 c AS (SELECT word, form AS reached, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.reached WHERE f.form IS NOT NULL),
 e AS (SELECT word, max_by(reached, step) AS root FROM c GROUP BY word)
 SELECT word, w.n, form, form_n, coalesce(root, word) AS root, coalesce(n_near, 0) AS n_near FROM w LEFT JOIN f USING (word) LEFT JOIN e USING (word)""",
+    "op13_licenses": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS5} AS w FROM documents), tx(template, label, base, text) AS (VALUES {_TEMPLATES}), tp AS MATERIALIZED (SELECT template, label, base, {_WORDS5} AS w, least(len(w), 4) AS k, len(w) AS n FROM tx),
+g AS MATERIALIZED (SELECT template, n, k, base, a AS o, w[a + 1:a + k] AS g FROM tp, unnest(range(n - k + 1)) AS r(a)),
+h AS MATERIALIZED (SELECT doc_id, template, n, g.k, base, p - o AS diag, o FROM (SELECT doc_id, k, p, w[p + 1:p + k] AS g FROM d, (SELECT DISTINCT k FROM g), unnest(range(len(w) - k + 1)) AS r(p)) JOIN g USING (k, g)),
+e AS (SELECT *, base OR coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) > 8, true) AS fresh FROM (SELECT DISTINCT doc_id, template, n, k, base, diag FROM h)),
+c AS (SELECT doc_id, template, diag, count_if(fresh) OVER (PARTITION BY doc_id, template ORDER BY diag) AS place FROM e),
+s AS (SELECT doc_id, template, place, base, min(diag) AS start, count(DISTINCT o + j) / any_value(n) AS share FROM h JOIN c USING (doc_id, template, diag), unnest(range(k)) AS r(j) GROUP BY ALL),
+m AS (SELECT doc_id, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (share >= 0.6)), ',') AS labels, round(max(share), 4) AS score FROM s JOIN tp USING (template, base) WHERE share >= 0.3 AND (NOT base OR share = 1) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN m USING (doc_id)""",
 }

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import resample, spelling
+from quirelake.llm import licenses, resample, spelling
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, n long, id long, weight long"
@@ -129,3 +129,56 @@ def test_spelling_long_words_and_no_words(spark):
     got = {r.word: r for r in spelling.spelling_variants(documents(spark, [f"{long} {other} {longer}"] * 3), every=10**9).collect()}
     assert {w: r.n_near for w, r in got.items()} == {long: 2, other: 1, longer: 1}
     assert spelling.spelling_variants(documents(spark, [None, "", "a b"])).count() == 0
+
+
+# ------------------------------------------------------------------ license scans
+
+
+def scanned(text):
+    w = WORD.findall(lower(text or ""))
+    templates = [(label, WORD.findall(lower(t)), base) for rows, base in ((licenses.PHRASES, True), (licenses.NOTICES, False)) for label, t in rows]
+    starts, base_labels, labels, best = [], set(), set(), 0.0
+    for label, own, base in templates:
+        k = min(4, len(own))
+        lines = {}
+        for p in range(len(w) - k + 1):
+            for a in range(len(own) - k + 1):
+                if w[p : p + k] == own[a : a + k]:
+                    lines.setdefault(p - a, set()).add(a)
+        places, last = [], None
+        for d in sorted(lines):
+            if base or last is None or d - last > 8:
+                places.append((d, set()))
+            last = d
+            places[-1][1].update(a + j for a in lines[d] for j in range(k))
+        for d, held in places:
+            share = len(held) / len(own)
+            if base and share == 1:
+                starts.append(d)
+                base_labels.add(label)
+            if (base and share == 1) or (not base and share >= 0.3):
+                best = max(best, share)
+                labels |= {label} if share >= 0.6 else set()
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(best, 4)
+
+
+def test_licenses(spark):
+    notice = dict(licenses.NOTICES)
+    filler = lambda n: " ".join(random.choices(["the", "of", "license", "mit", "cc", "this", "software", "x1"], k=n))
+    gpl = WORD.findall(lower(notice["gpl"]))
+    changed = " ".join(gpl[:20] + ["and", "so", "on"] + gpl[22:40] + gpl[44:])
+    texts = [None, "", ".,;", "MIT", "MIT License", "the Apache-License; cc by! CC BY mit license, gnu general", "GNU General Public License" * 2, notice["mit"], notice["bsd"].upper(), filler(50) + " " + changed + " " + filler(30), " ".join(gpl[:35]), " ".join(gpl[:12]), " ".join(gpl[:25] + ["z"] * 40 + gpl[25:]), notice["apache"] + " " + notice["mpl"], "mıt license Key cc by", " mit license" * 3000 + " " + filler(20_000), "été cc by"]
+    texts += [" ".join(random.choices(gpl, k=200)) for _ in range(5)]
+    rows = [*enumerate(texts), (None, texts[7]), (None, texts[7]), (4, texts[4]), (0, texts[4])]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = licenses.license_scan(docs).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((i, *scanned(t))) for i, t in rows)
+    found = {r.doc_id: r.labels for r in got}
+    assert found[7] == "mit" and found[8] == "bsd" and "gpl" in found[9].split(",") and found[13] == "apache,mpl"
+
+
+def test_licenses_without_templates_or_documents(spark):
+    docs = documents(spark, ["mit license", None])
+    assert [(r.n_words, r.n_base, r.labels) for r in licenses.license_scan(docs, phrases=[], notices=[]).orderBy("doc_id").collect()] == [(2, 0, ""), (0, 0, "")]
+    assert [(r.n_base, r.labels) for r in licenses.license_scan(docs, phrases=[("x", "license")], notices=[]).orderBy("doc_id").collect()] == [(1, "x"), (0, "")]
+    assert licenses.license_scan(docs.limit(0)).count() == 0
