@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config as C
+from .. import shared
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import dialog as G
 from ..operators import duplicates as D
 from ..operators import ingest as I
 from ..operators import retrieval as R
+from ..operators import shingle_index as X
 from ..operators import store as S
 from . import views as V
 
@@ -25,9 +27,9 @@ ORACLES: dict[str, str] = {}
 SQUASH = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 NORM = "trim(regexp_replace(regexp_replace(lower({}), '[''’`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
-DOCS = """dv AS (SELECT doc_id AS document_id, source || '/' || doc_id AS source_file, substr(string_split(text, chr(10))[1], 1, 60) AS document_title, text, lang, source,
+DOCS = """dv AS (SELECT doc_id AS document_id, source || '/' || doc_id AS source_file, string_split(text, chr(10))[1] AS document_title, text, lang, source,
   doc_id = min(doc_id) OVER (PARTITION BY text) AS active, coalesce(t.toxic, false) AS is_restricted FROM documents LEFT JOIN (SELECT doc_id, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id) t USING (doc_id))"""
-SPARSE = f"sv AS MATERIALIZED (SELECT doc_id AS chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM documents, unnest(string_split({SQUASH.format('text')}, ' ')) AS r(token) WHERE length(token) >= 5 GROUP BY ALL)"
+SPARSE = f"sv AS MATERIALIZED (SELECT doc_id AS chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM documents, unnest(string_split({SQUASH.format('text')}, ' ')) AS r(token) WHERE token <> '' GROUP BY ALL)"
 DENSE = """ds AS MATERIALIZED (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
 dr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dense_rank FROM ds QUALIFY dense_rank <= 20)"""
 SPARSE_RANK = f"""{SPARSE}, ss AS (SELECT q.chunk_id AS query_id, s.chunk_id, round(sum(s.weight * q.weight), 6) AS score FROM sv s JOIN sv q USING (token) WHERE q.chunk_id % 100 = 0 GROUP BY ALL),
@@ -38,9 +40,13 @@ sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS
 sn AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
 PAIRS = f"""{SHINGLE}, po AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 ps AS MATERIALIZED (SELECT a, b, round(o / (x.n + y.n - o), 4) AS jaccard, round(o / x.n, 4) AS a_in_b, round(o / y.n, 4) AS b_in_a FROM po JOIN sn x ON x.doc_id = a JOIN sn y ON y.doc_id = b)"""
-LINES = """ln AS (SELECT doc_id AS document_id, CAST(k - 1 AS INT) AS seq, l[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(k)),
+LINES = """ln AS (SELECT doc_id AS document_id, CAST(k - 1 AS INT) AS seq, l[k] AS text, CASE WHEN k > 1 THEN len(string_split(l[k - 1], ' | ')) END AS ahead FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(k)),
 bl AS MATERIALIZED (SELECT *, CASE WHEN length(text) BETWEEN 1 AND 24 THEN 'heading' WHEN contains(text, ' | ') THEN 'table' ELSE 'paragraph' END AS kind, CASE WHEN length(text) BETWEEN 1 AND 24 THEN length(text) % 4 + 1 END AS level,
-  CAST(seq // 10 AS INT) AS page, CASE WHEN document_id % 5 = 0 THEN (length(text) % 50 + 50) / 100.0::DOUBLE END AS ocr_confidence FROM ln)"""
+  CAST(seq // 10 AS INT) AS page, CASE WHEN document_id % 5 = 0 THEN (length(text) % 50 + 50) / 100.0::DOUBLE END AS ocr_confidence,
+  coalesce(ahead > 1 AND contains(text, ' | ') AND ahead <> len(string_split(text, ' | ')), false) AS row_mismatch FROM ln)"""
+PATHS = f"""{LINES}, ho AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER w AS section, """ + ", ".join(f"max(CASE WHEN kind = 'heading' AND level = {k} THEN seq END) OVER w AS p{k}" for k in (1, 2, 3, 4)) + """ FROM bl WINDOW w AS (PARTITION BY document_id ORDER BY seq)),
+pa AS (SELECT document_id, seq, text, section, CASE WHEN p1 IS NOT NULL THEN p1 END AS a1, CASE WHEN p2 > coalesce(p1, -1) THEN p2 END AS a2, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN p3 END AS a3, CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) THEN p4 END AS a4 FROM ho WHERE kind <> 'heading'),
+hd AS (SELECT document_id, seq AS s, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM bl WHERE kind = 'heading')"""
 CLEAN = """ct AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL),
 cl AS MATERIALIZED (SELECT conv_id, turn, role, CASE WHEN length(t) <= 400 THEN t WHEN role = 'assistant' THEN substr(t, 1, 262) || ' ... ' || right(t, 133) ELSE substr(t, 1, 400) END AS text FROM ct WHERE t <> '')"""
 HISTORY = f"""{CLEAN}, hi AS MATERIALIZED (SELECT *, {NORM.format('text')} AS norm, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM cl),
@@ -75,7 +81,7 @@ def dense_top20(spark, d):
 
 @query(f"WITH {SPARSE_RANK} SELECT query_id, chunk_id, score, CAST(sparse_rank AS INT) AS sparse_rank FROM sr")
 def sparse_top20(spark, d):
-    return R.sparse_search(V.token_queries(spark, d, least=V.TERM), V.sparse(spark, d, V.TERM), 20)
+    return R.sparse_search(V.token_queries(spark, d), V.sparse(spark, d), 20)
 
 
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, score, CAST(dense_rank AS INT) AS dense_rank FROM dr WHERE dense_rank <= 5")
@@ -83,8 +89,8 @@ def dense_topn_per_query(spark, d):
     return R.dense_search(V.vector_queries(spark, d), V.dense(spark, d), 5)
 
 
-def _fused(spark, d, least=V.TERM):
-    return R.rrf(R.dense_search(V.vector_queries(spark, d), V.dense(spark, d), 20), R.sparse_search(V.token_queries(spark, d, least=least), V.sparse(spark, d, least), 20))
+def _fused(spark, d):
+    return R.rrf(R.dense_search(V.vector_queries(spark, d), V.dense(spark, d), 20), R.sparse_search(V.token_queries(spark, d), V.sparse(spark, d), 20))
 
 
 @query(f"""WITH {FUSED}, r AS (SELECT query_id, chunk_id, round(fused_score, 9) AS fused_score, dense_rank, sparse_rank FROM fu)
@@ -134,7 +140,7 @@ def search_details(spark, d):
 
 @query(None)
 def retrieve(spark, d):
-    docs = V.documents(spark, d, None)
+    docs = V.documents(spark, d)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.lit("").alias("section_path"), "text", "is_superseded")
     vectors, tokens = V.vector_queries(spark, d), V.token_queries(spark, d)
     more = tuple(x.withColumn("part", F.lit(0)) for x in (V.vector_queries(spark, d, 1), V.token_queries(spark, d, 1)))
@@ -224,12 +230,12 @@ def policy_list(spark, d):
 
 @query(None)
 def topic_titles(spark, d):
-    return A.topics(V.documents(spark, d, None))
+    return A.topics(V.documents(spark, d))
 
 
 @query(None)
 def catalog_reply(spark, d):
-    return A.catalog_reply(A.catalog(V.documents(spark, d, None)))
+    return A.catalog_reply(A.catalog(V.documents(spark, d)))
 
 
 @query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -262,63 +268,100 @@ def opening_window(spark, d):
 # ------------------------------------------------------------------ duplicates
 
 
-@query(f"SELECT source AS document_id, sha256(string_agg({SQUASH.format('text')} || chr(31), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY ALL")
+@query(f"SELECT document_id, sha256(string_agg({SQUASH.format('text')} || chr(31), '' ORDER BY seq)) AS fingerprint FROM (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents) GROUP BY ALL")
 def fingerprints(spark, d):
-    return D.fingerprint(V.read(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("seq"), "text"))
+    return D.fingerprint(V.lines(spark, d).select("document_id", "seq", "text"))
 
 
-def _prints(spark, d):
-    return D.fingerprint(V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("seq"), "text"))
+def _docs(spark, d):
+    """documents as one chunk each."""
+    return V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), V.title().alias("title"), "text", D.text_fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query(f"WITH f AS (SELECT doc_id, {SQUASH.format('text')} AS t FROM documents), m AS (SELECT doc_id AS document_id, min(doc_id) OVER (PARTITION BY t) AS duplicate_of FROM f) SELECT * FROM m WHERE document_id <> duplicate_of")
 def exact_duplicates(spark, d):
-    return D.exact_duplicates(_prints(spark, d).withColumn("created", F.col("document_id")))
+    return D.exact_duplicates(_docs(spark, d).select("document_id", "fingerprint", F.col("document_id").alias("created")))
 
 
-def _docs(spark, d, title=V.TITLE):
-    rows = V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), V.title(title).alias("title"), "text")
-    return rows.join(_prints(spark, d), "document_id")
+_KEY = "trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g'))"
+_NEAR = "(jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75)"
+_REPS = f"ti AS MATERIALIZED (SELECT doc_id, {_KEY} AS k, q, min(doc_id) OVER (PARTITION BY q) AS rep FROM (SELECT *, {SQUASH.format('text')} AS q FROM documents))"
 
 
-@query(f"WITH {PAIRS} SELECT a, b, jaccard, a_in_b, b_in_a FROM ps WHERE jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75")
+@query(f"WITH {PAIRS}, {_REPS} SELECT a, b, jaccard, a_in_b, b_in_a FROM ps JOIN ti x ON x.doc_id = a JOIN ti y ON y.doc_id = b WHERE {_NEAR} AND x.rep = a AND y.rep = b")
 def near_duplicates(spark, d):
-    rows = D.shingle_rows(V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
-    found = D.near_pairs(rows, 0.6)
-    return found.filter("jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75")
+    """Pairs of different texts, by their first documents; exact_duplicates tells which documents have them."""
+    return D.near_pairs(D.representatives(_docs(spark, d)), 0.6).filter("jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75")
 
 
-@query("WITH t AS (SELECT doc_id, trim(regexp_replace(lower(substr(string_split(text, chr(10))[1], 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents) SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN t y ON x.k = y.k AND x.doc_id < y.doc_id WHERE x.k <> ''")
+@query(f"WITH {_REPS} SELECT doc_id AS document_id, min(doc_id) OVER (PARTITION BY k) AS title_class, count(*) OVER (PARTITION BY k) - 1 AS links FROM ti WHERE k <> '' QUALIFY links > 0")
 def title_duplicates(spark, d):
-    return D.title_pairs(_docs(spark, d))
+    return D.title_classes(_docs(spark, d))
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT doc_id, trim(regexp_replace(lower(substr(string_split(text, chr(10))[1], 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS k, {SQUASH.format('text')} AS q FROM documents),
-tp AS (SELECT x.doc_id AS a, y.doc_id AS b, true AS title FROM t x JOIN t y ON x.k = y.k AND x.doc_id < y.doc_id WHERE x.k <> ''),
-j AS (SELECT a, b, coalesce(jaccard, 0) AS jaccard, coalesce(a_in_b, 0) AS a_in_b, coalesce(b_in_a, 0) AS b_in_a, coalesce(title, false) AS title FROM ps FULL JOIN tp USING (a, b)),
-r AS (SELECT j.*, array_to_string(list_filter([CASE WHEN x.q = y.q THEN 'exact' WHEN jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75 THEN 'near' END, CASE WHEN title THEN 'title' END], lambda v: v IS NOT NULL), ',') AS reasons
-  FROM j JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b) SELECT a, b, jaccard, reasons FROM r WHERE reasons <> ''""")
+REASONS = f"""{PAIRS}, {_REPS}, tc AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first FROM ti WHERE k <> ''),
+cd AS (SELECT rep AS a, doc_id AS b FROM ti WHERE rep <> doc_id UNION SELECT first, doc_id FROM tc WHERE first <> doc_id UNION SELECT a, b FROM ps JOIN ti x ON x.doc_id = a JOIN ti y ON y.doc_id = b WHERE {_NEAR} AND x.rep = a AND y.rep = b),
+cs AS (SELECT a, b, coalesce(jaccard, 0) AS jaccard, coalesce(a_in_b, 0) AS a_in_b, coalesce(b_in_a, 0) AS b_in_a FROM cd LEFT JOIN ps USING (a, b)),
+rs AS MATERIALIZED (SELECT a, b, jaccard, a_in_b, b_in_a, array_to_string(list_filter([CASE WHEN x.q = y.q THEN 'exact' WHEN {_NEAR} THEN 'near' END, CASE WHEN x.k = y.k AND x.k <> '' THEN 'title' END], lambda v: v IS NOT NULL), ',') AS reasons FROM cs JOIN ti x ON x.doc_id = a JOIN ti y ON y.doc_id = b)"""
+
+
+@query(f"WITH {REASONS} SELECT * FROM rs")
 def dup_reasons(spark, d):
-    return D.pairwise(_docs(spark, d)).select("a", "b", "jaccard", F.array_join("reasons", ",").alias("reasons"))
+    return D.class_pairs(_docs(spark, d)).withColumn("reasons", F.array_join("reasons", ",")).orderBy(F.desc("jaccard"), "a", "b")
 
 
-@query(None)
+_DIFFERENCES = f"""{PATHS.replace('hd AS (', 'hd AS MATERIALIZED (')},
+sp AS (SELECT p.document_id, p.seq, concat_ws(' > ', 'document', h1.t, h2.t, h3.t, h4.t) AS path, p.text FROM pa p LEFT JOIN hd h1 ON h1.document_id = p.document_id AND h1.s = a1
+  LEFT JOIN hd h2 ON h2.document_id = p.document_id AND h2.s = a2 LEFT JOIN hd h3 ON h3.document_id = p.document_id AND h3.s = a3 LEFT JOIN hd h4 ON h4.document_id = p.document_id AND h4.s = a4 UNION ALL SELECT document_id, seq, NULL, text FROM bl WHERE kind = 'heading'),
+sq AS (SELECT document_id, seq, path, {SQUASH.format('text')} AS t FROM sp), sw AS (SELECT *, string_split(t, ' ') AS w FROM sq WHERE t <> ''),
+ck AS MATERIALIZED (SELECT document_id, seq, path, t, list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[CAST(i + 1 AS INT):CAST(i + 5 AS INT)], ' '))) AS sh FROM sw),
+mt AS (SELECT p.a, p.b, x.document_id AS side, x.seq, any_value(x.path) AS path, coalesce(bool_or(x.t = y.t OR len(list_intersect(x.sh, y.sh)) / (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh))) >= 0.9), false) AS met
+  FROM rs p JOIN ck x ON x.document_id IN (p.a, p.b) LEFT JOIN ck y ON y.document_id = p.a + p.b - x.document_id GROUP BY ALL),
+df AS (SELECT a, b, """ + ", ".join(f"count_if(side = {k}) AS chunks_{k}, count_if(side = {k} AND NOT met) AS only_{k}, coalesce(list_sort(list(DISTINCT path) FILTER (side = {k})), []) AS p{k}, coalesce(list_sort(list(DISTINCT path) FILTER (side = {k} AND NOT met)), []) AS s{k}" for k in "ab") + " FROM mt GROUP BY a, b)"
+
+
+@query(f"""WITH {REASONS}, {_DIFFERENCES} SELECT a, b, """ + ", ".join(f"coalesce(chunks_{k}, 0) AS chunks_{k}, coalesce(only_{k}, 0) AS only_{k}, coalesce(array_to_string(list_filter(p{k}, lambda x: NOT list_contains(p{o}, x)), '; '), '') AS paths_only_{k}, coalesce(array_to_string(s{k}, '; '), '') AS sections_only_{k}" for k, o in ("ab", "ba")) + " FROM rs LEFT JOIN df USING (a, b)")
 def chunk_diff(spark, d):
-    docs = _docs(spark, d, None)
-    pairs = D.pairwise(docs).select("a", "b")
-    return D.chunk_diff(pairs, docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("seq", "text")))
+    """The whole difference of every pair that has a reason: documents' lines are their chunks, under the headings above them; headings have no path."""
+    pairs = D.class_pairs(_docs(spark, d)).select("a", "b")
+    blocks = V.lines(spark, d)
+    chunks = I.section_paths(blocks, blocks.select("document_id").distinct().withColumn("title", F.lit("document")))
+    heads = blocks.filter("kind = 'heading'").select("document_id", "text", F.lit(None).cast("string").alias("section_path"))
+    diff = D.chunk_diff(pairs, chunks.select("document_id", "text", "section_path").unionByName(heads))
+    return diff.withColumns({c: F.array_join(c, "; ") for c in ("paths_only_a", "paths_only_b", "sections_only_a", "sections_only_b")})
+
+
+_UPLOADS = f"""up AS (SELECT item_id AS a, {_KEY} AS k, {SQUASH.format('text')} AS q FROM benchmark), ac AS (SELECT document_id AS b, {_KEY} AS k, {SQUASH.format('text')} AS q FROM dv WHERE active),
+uw AS (SELECT a, list_filter(string_split(q, ' '), lambda x: x <> '') AS w FROM up), aw AS (SELECT b, list_filter(string_split(q, ' '), lambda x: x <> '') AS w FROM ac),
+us AS MATERIALIZED (SELECT DISTINCT a, array_to_string(w[k:k + 4], ' ') AS s FROM uw, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(k) WHERE len(w) > 0), ah AS MATERIALIZED (SELECT DISTINCT b, array_to_string(w[k:k + 4], ' ') AS s FROM aw, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(k) WHERE len(w) > 0),
+nu AS (SELECT a, count(*) AS n FROM us GROUP BY ALL), na AS (SELECT b, count(*) AS n FROM ah GROUP BY ALL), ov AS (SELECT a, b, count(*) AS o FROM us JOIN ah USING (s) GROUP BY ALL),
+sm AS (SELECT a, b, round(o / (x.n + y.n - o), 4) AS jaccard, round(o / x.n, 4) AS a_in_b, round(o / y.n, 4) AS b_in_a FROM ov JOIN nu x USING (a) JOIN na y USING (b)),
+al AS (SELECT a, b FROM sm UNION SELECT a, b FROM up JOIN ac USING (q) UNION SELECT a, b FROM up JOIN ac USING (k) WHERE k <> ''),
+rs AS (SELECT a, b, coalesce(jaccard, 0) AS jaccard, coalesce(a_in_b, 0) AS a_in_b, coalesce(b_in_a, 0) AS b_in_a, array_to_string(list_filter([CASE WHEN up.q = ac.q THEN 'exact' WHEN {_NEAR} THEN 'near' END, CASE WHEN up.k = ac.k AND up.k <> '' THEN 'title' END], lambda v: v IS NOT NULL), ',') AS reasons
+  FROM al LEFT JOIN sm USING (a, b) JOIN up USING (a) JOIN ac USING (b))"""
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split({SQUASH.format('text')}, ' '), lambda x: x <> '') AS w FROM documents), v AS (SELECT item_id, list_filter(string_split({SQUASH.format('text')}, ' '), lambda x: x <> '') AS w FROM benchmark),
-sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(k) WHERE len(w) > 0), bh AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM v, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(k) WHERE len(w) > 0),
-sn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL), bn AS (SELECT item_id, count(*) AS n FROM bh GROUP BY ALL), o AS (SELECT item_id AS a, doc_id AS b, count(*) AS o FROM bh JOIN sh USING (s) GROUP BY ALL),
-r AS (SELECT a, b, round(o / (x.n + y.n - o), 4) AS jaccard, round(o / x.n, 4) AS a_in_b, round(o / y.n, 4) AS b_in_a FROM o JOIN bn x ON x.item_id = a JOIN sn y ON y.doc_id = b) SELECT * FROM r WHERE jaccard >= 0.6 OR greatest(a_in_b, b_in_a) >= 0.75""")
+@query(f"WITH {DOCS}, {_UPLOADS} SELECT * FROM rs WHERE reasons <> ''")
 def upload_candidates(spark, d):
-    new = V.read(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.concat(F.lit("upload/"), F.col("item_id").cast("string")).alias("source_file"), F.lit(None).cast("string").alias("title"), "text")
-    new = new.join(D.fingerprint(new.withColumn("seq", F.lit(0))), "document_id")
-    # Uploads have no titles here; the SQL takes superseded documents too, and gives no reasons.
-    docs = V.documents(spark, d).select("document_id", "source_file", F.col("document_title").alias("title"), "text").join(_prints(spark, d), "document_id")
-    return D.upload_candidates(new, docs).drop("reasons")
+    new, docs = _uploads(spark, d)
+    return D.upload_candidates(new, docs).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"WITH {DOCS}, {_UPLOADS} SELECT * FROM rs WHERE reasons <> ''")
+def indexed_candidates(spark, d):
+    """upload_candidates by the stored index: documents come in two batches, uploads are then matched with what is stored."""
+    new, docs = _uploads(spark, d)
+    at = shared.new_dir(spark, "shingle-index")
+    for nth in (0, 1):
+        X.add(docs.filter(F.pmod(F.xxhash64("document_id"), F.lit(2)) == nth), at, nth)
+    return X.candidates(new, at).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _uploads(spark, d):
+    """(benchmark as uploads, documents): one chunk each."""
+    new = V.read(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.concat(F.lit("upload/"), F.col("item_id").cast("string")).alias("source_file"), V.title().alias("title"), "text", D.text_fingerprint(F.col("text")).alias("fingerprint"))
+    docs = V.documents(spark, d).select("document_id", "source_file", F.col("document_title").alias("title"), "text", "status", D.text_fingerprint(F.col("text")).alias("fingerprint"))
+    return new, docs
 
 
 @query(f"WITH {SHINGLE} SELECT d.doc_id AS document_id, coalesce(n, 0) AS shingles FROM documents d LEFT JOIN sn USING (doc_id)")
@@ -339,19 +382,24 @@ def content_hash(spark, d):
     return V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), T.content_hash(F.col("text")).alias("content_hash"))
 
 
+GARBLED = f"""(length(t) > 0 AND (length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(regexp_replace(t, '\\s', '', 'g')) < 0.5 OR (length(t) > 40 AND {WORDS.format('t')} < length(t) / 25)
+  OR length(regexp_replace(t, '\\s', '', 'g')) / {WORDS.format('t')} > 25))"""
+
+
 @query(f"""WITH s AS (SELECT document_id, seq, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id AS document_id, CAST(k - 1 AS INT) AS seq, l[k] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(k)))
-SELECT document_id, count(*) AS lines, count(*) FILTER (length(t) > 0 AND (length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(regexp_replace(t, '\\s', '', 'g')) < 0.5 OR (length(t) > 40 AND {WORDS.format('t')} < length(t) / 25)
-  OR length(regexp_replace(t, '\\s', '', 'g')) / {WORDS.format('t')} > 25)) AS garbled FROM s GROUP BY ALL""")
+SELECT document_id, count(*) AS lines, count(*) FILTER {GARBLED.replace('(length', '(WHERE length', 1)} AS garbled FROM s GROUP BY ALL""")
 def garbled_flags(spark, d):
     rows = V.lines(spark, d).select("document_id", T.garbled(F.col("text")).alias("g"))
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("g").alias("garbled"))
 
 
-CHUNKS = f"""{LINES}, ch AS MATERIALIZED (SELECT document_id, seq, text, kind AS chunk_type, page, ocr_confidence, CAST(floor(1.3::DOUBLE * {WORDS.format('text')}) AS INT) AS token_count FROM bl),
+CHUNKS = f"""{LINES}, ch AS MATERIALIZED (SELECT document_id, seq, text, kind AS chunk_type, page, ocr_confidence, row_mismatch, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, CAST(floor(1.3::DOUBLE * {WORDS.format('text')}) AS INT) AS token_count FROM bl),
 me AS MATERIALIZED (SELECT document_id, coalesce(median(token_count) FILTER (chunk_type <> 'table'), 0.0) AS median FROM ch GROUP BY ALL),
 fl AS MATERIALIZED (SELECT ch.*, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 1 ELSE 0 END AS f_empty,
   CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND chunk_type <> 'table' AND (token_count < 5 OR (median > 0 AND (token_count < 0.15 * median OR token_count > 4 * median))) THEN 1 ELSE 0 END AS f_outlier,
+  CASE WHEN chunk_type <> 'table' AND {GARBLED} THEN 1 ELSE 0 END AS f_garbled, CASE WHEN chunk_type = 'table' AND row_mismatch THEN 1 ELSE 0 END AS f_table,
   CASE WHEN ocr_confidence < 0.65 THEN 1 ELSE 0 END AS f_ocr FROM ch JOIN me USING (document_id))"""
+FLAGS = (("empty", "f_empty"), ("length_outlier", "f_outlier"), ("garbled_text", "f_garbled"), ("table_conversion_issue", "f_table"), ("low_ocr_confidence", "f_ocr"))
 
 
 def _flagged(spark, d):
@@ -359,15 +407,14 @@ def _flagged(spark, d):
     return I.qa_flags(rows)
 
 
-@query(f"WITH {CHUNKS} SELECT document_id, CAST(sum(f_empty) AS BIGINT) AS n_empty, CAST(sum(f_outlier) AS BIGINT) AS length_outlier, CAST(sum(f_ocr) AS BIGINT) AS low_ocr_confidence FROM fl GROUP BY ALL")
+@query(f"WITH {CHUNKS} SELECT document_id, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS n_{f}" for f, c in FLAGS) + " FROM fl GROUP BY ALL")
 def qa_flags(spark, d):
-    has = lambda f, n: F.count_if(F.array_contains("qa_flags", f)).alias(n)
-    return _flagged(spark, d).groupBy("document_id").agg(has("empty", "n_empty"), has("length_outlier", "length_outlier"), has("low_ocr_confidence", "low_ocr_confidence"))
+    return _flagged(spark, d).groupBy("document_id").agg(*[F.count_if(F.array_contains("qa_flags", f)).alias(f"n_{f}") for f, _ in FLAGS])
 
 
-@query(f"WITH {CHUNKS}, t AS (SELECT 'empty' AS flag, sum(f_empty) AS n FROM fl UNION ALL SELECT 'length_outlier', sum(f_outlier) FROM fl UNION ALL SELECT 'low_ocr_confidence', sum(f_ocr) FROM fl) SELECT flag, CAST(n AS BIGINT) AS chunks FROM t WHERE n > 0")
+@query(f"WITH {CHUNKS}, t AS (" + " UNION ALL ".join(f"SELECT '{f}' AS flag, sum({c}) AS n FROM fl" for f, c in FLAGS) + ") SELECT flag, CAST(n AS BIGINT) AS chunks FROM t WHERE n > 0")
 def flag_totals(spark, d):
-    return I.flag_totals(_flagged(spark, d)).filter("flag NOT IN ('garbled_text', 'table_conversion_issue')")
+    return I.flag_totals(_flagged(spark, d))
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, median FROM me")
@@ -405,11 +452,6 @@ def numbered_runs(spark, d):
     return I.numbered_runs(rows).select("document_id", "seq", "number", "run")
 
 
-PATHS = f"""{LINES}, ho AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER w AS section, """ + ", ".join(f"max(CASE WHEN kind = 'heading' AND level = {k} THEN seq END) OVER w AS p{k}" for k in (1, 2, 3, 4)) + """ FROM bl WINDOW w AS (PARTITION BY document_id ORDER BY seq)),
-pa AS (SELECT document_id, seq, section, CASE WHEN p1 IS NOT NULL THEN p1 END AS a1, CASE WHEN p2 > coalesce(p1, -1) THEN p2 END AS a2, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN p3 END AS a3, CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) THEN p4 END AS a4 FROM ho WHERE kind <> 'heading'),
-hd AS (SELECT document_id, seq AS s, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM bl WHERE kind = 'heading')"""
-
-
 @query(f"""WITH {PATHS} SELECT p.document_id, p.seq, CAST(section AS BIGINT) AS section, concat_ws(' > ', 'document', h1.t, h2.t, h3.t, h4.t) AS section_path FROM pa p LEFT JOIN hd h1 ON h1.document_id = p.document_id AND h1.s = a1
 LEFT JOIN hd h2 ON h2.document_id = p.document_id AND h2.s = a2 LEFT JOIN hd h3 ON h3.document_id = p.document_id AND h3.s = a3 LEFT JOIN hd h4 ON h4.document_id = p.document_id AND h4.s = a4""")
 def section_paths(spark, d):
@@ -570,9 +612,9 @@ def lookup_replay(spark, d):
 
 @query(None)
 def source_replies(spark, d):
-    docs = V.documents(spark, d, None)
+    docs = V.documents(spark, d)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.concat_ws(" > ", "document_title", "lang").alias("section_path"), "text")
-    results = R.details(R.top(_fused(spark, d, 1), 3), chunks, docs)
+    results = R.details(R.top(_fused(spark, d), 3), chunks, docs)
     where = G.location_reply(results).withColumnRenamed("reply", "where")
     return G.source_reply(results).join(where, "query_id")
 

@@ -7,42 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Shortest tokens of sparse vectors in the queries whose SQL leaves out shorter ones; all others take every token.
-TERM = 5
-#: Characters of titles in the queries whose SQL leaves out the rest; all others take whole first lines.
-TITLE = 60
-
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def title(most: int | None = None) -> Column:
-    """The first line of a text, or its first `most` characters."""
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    return line if most is None else F.substring(line, 1, most)
+def title() -> Column:
+    """The first line of a text."""
+    return F.get(F.split("text", "\n"), F.lit(0))
 
 
-def documents(spark: SparkSession, d: str, most: int | None = TITLE) -> DataFrame:
-    """documents: the first line (of at most `most` characters) is the title; a text is superseded by the first document with the same; toxic ones are restricted."""
-    docs = read(spark, d, "documents")
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """documents: the first line is the title; a text is superseded by the first document with the same; toxic ones are restricted. Texts are compared by two
+    hashes, so they stay where they are."""
+    docs = read(spark, d, "documents").withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     toxic = read(spark, d, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
-    first = docs.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("first")).drop("h")
-    rows = docs.join(first, "text").join(toxic, "doc_id", "left")
+    first = docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+    marks = docs.select("doc_id", "t1", "t2").join(first, ["t1", "t2"]).select("doc_id", "first").join(toxic, "doc_id", "left")
+    rows = docs.drop("t1", "t2").join(marks, "doc_id")
     return rows.select(
-        F.col("doc_id").alias("document_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_file"), title(most).alias("document_title"), "text", "lang", "source",
+        F.col("doc_id").alias("document_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_file"), title().alias("document_title"), "text", "lang", "source",
         F.when(F.col("doc_id") == F.col("first"), "active").otherwise("superseded").alias("status"), F.coalesce("toxic", F.lit(False)).alias("is_restricted"), (F.col("doc_id") != F.col("first")).alias("is_superseded"), F.col("doc_id").alias("created_at"), F.lit(None).cast("long").alias("updated_at"),
     )
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents as blocks: one that is short and has no full stop is a heading of level 1 to 4 by its length."""
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    """Lines of documents as blocks: one that is short is a heading of level 1 to 4 by its length; one with bars is a row of a table, which mismatches
+    if the line before is a row with another number of cells."""
+    cells = lambda x: F.size(F.split(x, r" \| "))
+    pairs = T.let(F.split("text", "\n"), lambda l: F.transform(l, lambda x, i: F.struct(x.alias("text"), F.when(i > 0, F.get(l, i - 1)).alias("ahead"))))  # noqa: E741
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(pairs).alias("seq", "x")).select("document_id", "seq", "x.text", "x.ahead")
     n = F.char_length("text")
     head = (n > 0) & (n <= 24)
     return rows.select(
         "document_id", "seq", F.when(head, "heading").when(F.contains("text", F.lit(" | ")), "table").otherwise("paragraph").alias("kind"), "text", F.when(head, (n % 4 + 1)).cast("int").alias("level"), (F.col("seq") / 10).cast("int").alias("page"),
-        F.when(F.col("document_id") % 5 == 0, "ocr").otherwise("digital_text").alias("source_type"), F.when(F.col("document_id") % 5 == 0, (F.pmod(n, F.lit(50)) + 50) / 100.0).alias("ocr_confidence"), F.lit(False).alias("row_mismatch"),
+        F.when(F.col("document_id") % 5 == 0, "ocr").otherwise("digital_text").alias("source_type"), F.when(F.col("document_id") % 5 == 0, (F.pmod(n, F.lit(50)) + 50) / 100.0).alias("ocr_confidence"), F.coalesce((cells(F.col("text")) > 1) & (cells(F.col("ahead")) > 1) & (cells(F.col("text")) != cells(F.col("ahead"))), F.lit(False)).alias("row_mismatch"),
     )
 
 
@@ -55,10 +54,10 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return lang
 
 
-def sparse(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
-    """(chunk_id, token, weight): how often a document says a word (of `least` characters)."""
+def sparse(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, token, weight): how often a document says a word."""
     words = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.split(T.squash(F.col("text")), " ")).alias("token"))
-    return words.filter(F.char_length("token") >= least).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return words.filter("token <> ''").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +70,8 @@ def vector_queries(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
     return q.select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def token_queries(spark: SparkSession, d: str, shift: int = 0, least: int = 1) -> DataFrame:
-    rows = sparse(spark, d, least).filter((F.col("chunk_id") - shift) % 100 == 0)
+def token_queries(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
+    rows = sparse(spark, d).filter((F.col("chunk_id") - shift) % 100 == 0)
     return rows.select((F.col("chunk_id") - shift).alias("query_id"), "token", "weight")
 
 

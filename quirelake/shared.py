@@ -53,3 +53,8 @@ def small(df: DataFrame, what: str, most: int = BROADCAST_BYTES) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     return F.broadcast(out) if size_of(spark, at) <= most else out
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
