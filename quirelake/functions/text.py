@@ -137,10 +137,12 @@ def is_answer(c: Column) -> Column:
 
 
 def heading_level(size: Column, body: Column, tiers: Column, number: Column) -> Column:
-    """Of a line: the tier whose size is within 0.3 points; else, if larger than the body by 12 %, the lowest tier; else by dots of its number; else null."""
-    near = F.get(F.filter(F.transform(tiers, lambda t, i: F.when(F.abs(t - size) <= 0.3, i + 1)), lambda x: x.isNotNull()), F.lit(0))
+    """Of a line: the tier whose size is less than 0.3 points away; else, if larger than the body by 12 %, the level below the tiers (3 without any); else, if it has a
+    dotted number, below the tiers by dots, three levels more at most; else null."""
+    near = F.get(F.filter(F.transform(tiers, lambda t, i: F.when(F.abs(t - F.round(size, 1)) < 0.3, i + 1)), lambda x: x.isNotNull()), F.lit(0))
     dots = F.char_length(F.regexp_replace(number, "[^.]", ""))
-    return F.coalesce(near, F.when((F.size(tiers) > 0) & (size > body * 1.12), F.size(tiers)), F.when(number != "", F.size(tiers) + 1 + F.least(dots - 1, F.lit(3))))
+    large = F.when(F.round(size, 1) > body * 1.12, F.when(F.size(tiers) > 0, F.size(tiers) + 1).otherwise(3))
+    return F.coalesce(near, large, F.when(number != "", F.size(tiers) + 1 + F.least(dots - 1, F.lit(3))))
 
 
 def overlap_share(a: list[Column], b: list[Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import TYPE_ORDER
 from ..functions import text as T
+from ..functions.order import ahead
 
 
 def in_window(ts: Column, reference: Column, days: int) -> Column:
@@ -29,12 +30,20 @@ def recent(logs: DataFrame, n: int) -> DataFrame:
 
 
 def latency_table(samples: DataFrame, by: str, value: str, error_value: float = 30_000, marks: tuple[int, ...] = (2000, 3000)) -> DataFrame:
-    """Percentiles by nearest rank, the largest, how many lie above marks, and failures (null values count as error_value)."""
-    v = samples.select(by, F.coalesce(value, F.lit(float(error_value))).alias("v"), F.col(value).isNull().alias("bad"))
-    w = Window.partitionBy(by)
-    r = v.withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count(F.lit(1)).over(w)})
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.round((F.col("n") - 1) * p, 0).cast("int"), F.col("n") - 1), F.col("v")))
-    return r.groupBy(by).agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("max"), *[F.count_if(F.col("v") > m).alias(f"over_{m}") for m in marks], F.count_if("bad").alias("errors"))
+    """Percentiles by nearest rank, the largest, how many lie above marks, and failures (null values count as error_value).
+
+    Equal values are counted first; their places come from ranges of values, so that no group's rows meet in one task."""
+    v = samples.select(F.col(by).alias("g"), F.coalesce(value, F.lit(float(error_value))).alias("v"), F.col(value).isNull().alias("bad"))
+    counts = v.groupBy("g", "v").agg(F.count(F.lit(1)).alias("k"), F.count_if("bad").alias("bad"))
+    r = ahead(counts, [F.col("v")], ("g",), "k", "before")
+    total = counts.groupBy("g").agg(F.sum("k").alias("n"))
+    r = r.withColumnRenamed("g", "own").join(total, F.col("own").eqNullSafe(F.col("g")))
+
+    def at(p: float) -> Column:
+        place = F.least(F.round((F.col("n") - 1) * p, 0).cast("long"), F.col("n") - 1)
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("k")), F.col("v")))
+
+    return r.groupBy("g").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("max"), *[F.coalesce(F.sum(F.when(F.col("v") > m, F.col("k"))), F.lit(0)).alias(f"over_{m}") for m in marks], F.sum("bad").alias("errors")).withColumnRenamed("g", by)
 
 
 def tag_norms(tags: DataFrame) -> DataFrame:
@@ -76,10 +85,11 @@ def policies(documents: DataFrame) -> DataFrame:
 
 
 def catalog(documents: DataFrame) -> DataFrame:
-    """(position, title): titles of active, unrestricted documents, one per normalised title (the first source file's), in its order."""
+    """(position, title): titles of active, unrestricted documents, one per normalised title (the first source file's), in its order:
+    places come from ranges of titles."""
     t = documents.filter((F.col("status") == "active") & ~F.col("is_restricted") & F.col("document_title").isNotNull()).withColumn("key", T.normalise_title(F.col("document_title"))).filter("key <> ''")
     first = t.groupBy("key").agg(F.min_by(F.trim("document_title"), F.struct(F.lower("document_title"), "source_file")).alias("title"))
-    return first.select(F.row_number().over(Window.orderBy("key")).alias("position"), "title")
+    return ahead(first, [F.col("key")], name="position").select((F.col("position") + 1).cast("int").alias("position"), "title")
 
 
 def topics(documents: DataFrame, prefix: str = "") -> DataFrame:

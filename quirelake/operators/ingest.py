@@ -26,12 +26,57 @@ def body_size(spans: DataFrame) -> DataFrame:
 
 
 def heading_sizes(spans: DataFrame, most: int = 4) -> DataFrame:
-    """(document_id, level, size): distinct sizes 12 % above the body's, the largest first, `most` of them."""
-    sizes = spans.select("document_id", F.round(F.col("size").cast("double"), 1).alias("size")).distinct().join(body_size(spans), "document_id")
+    """(document_id, level, size): distinct sizes of text 12 % above the body's, the largest first, `most` of them."""
+    sizes = spans.filter(T.strip(F.col("text")) != "").select("document_id", F.round(F.col("size").cast("double"), 1).alias("size")).distinct().join(body_size(spans), "document_id")
     order = Window.partitionBy("document_id").orderBy(F.desc("size"))
     return sizes.filter(F.col("size") > F.col("body") * 1.12).select("document_id", F.row_number().over(order).alias("level"), "size").filter(F.col("level") <= most)
 
 
+def page_lines(spans: DataFrame) -> DataFrame:
+    """(document_id, page, block, line, text, size, bold, x0, y0, x1, y1): spans put together to lines, those without text left out. Size and weight are those of
+    spans with text; the box is that of the line's block. spans: document_id, page, block, line, seq, text, size, bold, x0, y0, x1, y1."""
+    solid = T.strip(F.col("text")) != ""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    of = lambda c, f: F.coalesce(f(F.when(solid, F.col(c))), f(F.col(c))).alias(c)
+    rows = spans.groupBy("document_id", "page", "block", "line").agg(T.strip(text).alias("text"), of("size", F.max), of("bold", F.bool_or), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    own = Window.partitionBy("document_id", "page", "block")
+    return rows.withColumns({c: f(c).over(own) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))}).filter("text <> ''")
+
+
+def classify_lines(spans: DataFrame, tables: DataFrame, overlap: float = 0.4) -> DataFrame:
+    """(document_id, page, seq, kind, text, level, bare_number, row_mismatch): the blocks of digital pages.
+
+    tables: document_id, page, region, rows, x0, y0, x1, y1; those that aren't real tables count as lines, the others come first on their page, as Markdown. Lines of
+    blocks of which more than `overlap` lies in a table's padded box are left out: a join by page. A line is a heading by its number or its size (see
+    heading_level) if it is shorter than 150 characters; a bare number alone makes none. Lines between headings are one paragraph of their page.
+    Documents without spans but with tables are fine; empty tables give no rows."""
+    real = tables.filter(T.real_table(F.col("rows")))
+    box = dict(zip(("t0", "u0", "t1", "u1"), T.padded_box([F.col(c) for c in ("x0", "y0", "x1", "y1")]), strict=True))
+    boxes = real.select("document_id", "page", *[c.alias(k) for k, c in box.items()])
+    lines = page_lines(spans)
+    share = T.overlap_share([F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(c) for c in box])
+    hidden = lines.join(boxes, ["document_id", "page"]).filter(share > overlap).select("document_id", "page", "line").distinct()
+    tiers = heading_sizes(spans).groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "size"))), lambda x: x["size"]).alias("tiers"))
+    rows = lines.join(hidden, ["document_id", "page", "line"], "left_anti").join(body_size(spans), "document_id", "left").join(tiers, "document_id", "left")
+    text, n = F.col("text"), F.char_length("text")
+    tiers_ = F.coalesce("tiers", F.array().cast("array<double>"))
+    dotted, bare = T.dotted_number(text), T.bare_number(text)
+    by_size = T.heading_level(F.col("size"), F.col("body"), tiers_, F.lit(""))
+    by_dots = F.when(F.col("bold") | (n < 100) | (T.word_count(text) < 12), T.heading_level(F.col("size"), F.col("body"), tiers_, dotted))
+    level = F.when(dotted != "", F.coalesce(by_dots, by_size)).when(bare.isNotNull(), F.when(n < 100, by_size)).otherwise(by_size)
+    rows = rows.select("document_id", "page", "line", "text", F.when(n < 150, level).alias("level"), F.when(dotted == "", bare).alias("bare_number"))
+    own = Window.partitionBy("document_id", "page").orderBy("line")
+    head = F.col("level").isNotNull()
+    rows = rows.withColumn("part", F.count_if(head | F.coalesce(F.lag("level").over(own).isNotNull(), F.lit(True))).over(own))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    blocks = rows.groupBy("document_id", "page", "part").agg(joined.alias("text"), F.first("level").alias("level"), F.min_by("bare_number", "line").alias("bare_number"))
+    blocks = blocks.select("document_id", "page", F.lit(1).alias("last"), "part", F.when(head, "heading").otherwise("paragraph").alias("kind"), "text", "level", "bare_number", F.lit(False).alias("row_mismatch"))
+    none = F.lit(None).cast("int")
+    first = real.select("document_id", "page", F.lit(0).alias("last"), F.col("region").cast("long").alias("part"), F.lit("table").alias("kind"), T.rows_to_markdown(F.col("rows")).alias("text"), none.alias("level"), none.alias("bare_number"), T.row_mismatch(F.col("rows")).alias("row_mismatch"))
+    seq = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "last", "part"))
+    return first.unionByName(blocks).withColumn("seq", seq).select("document_id", "page", "seq", "kind", "text", "level", "bare_number", "row_mismatch")
+
+
 def edge_lines(pages: DataFrame, edge: int = 3, longest: int = 120) -> DataFrame:
     """(document_id, page, line): each page's first and last `edge` lines with text, once."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")

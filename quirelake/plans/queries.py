@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import config as C
 from .. import shared
 from ..functions import text as T
+from ..functions.order import ahead
 from ..operators import analytics as A
 from ..operators import dialog as G
 from ..operators import duplicates as D
@@ -18,6 +19,7 @@ from ..operators import ingest as I
 from ..operators import retrieval as R
 from ..operators import shingle_index as X
 from ..operators import store as S
+from ..sources import html as H
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,19 +424,6 @@ def median_tokens(spark, d):
     return I.median_tokens(V.lines(spark, d).withColumns({"chunk_type": F.col("kind"), "token_count": T.token_estimate(F.col("text"))}))
 
 
-EDGES = """pl AS (SELECT source AS document_id, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
-el AS (SELECT DISTINCT document_id, page, line FROM pl, unnest(list_concat(l[1:3], l[greatest(len(l) - 2, 1):])) AS r(line) WHERE length(line) <= 120)"""
-
-
-@query(f"""WITH {EDGES}, n AS (SELECT source AS document_id, count(DISTINCT doc_id) AS pages FROM documents GROUP BY ALL HAVING pages >= 3), k AS (SELECT document_id, regexp_replace(line, '[0-9]+', '#', 'g') AS key, count(*) AS n FROM el GROUP BY ALL)
-SELECT document_id, key, k.n FROM k JOIN n USING (document_id) WHERE k.n >= greatest(2, floor(pages * 0.02))""")
-def repeated_lines(spark, d):
-    pages = V.read(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
-    total = pages.groupBy("document_id").agg(F.count_distinct("page").alias("pages")).filter("pages >= 3")
-    keys = I.edge_lines(pages).groupBy("document_id", T.digit_key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return keys.join(total, "document_id").filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") * 0.02))).select("document_id", "key", "n")
-
-
 @query("""WITH l AS (SELECT DISTINCT source AS document_id, doc_id AS page, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS line FROM documents, unnest(string_split(text, chr(10))) AS r(x))
 SELECT document_id, line, count(DISTINCT page) AS pages FROM l WHERE length(line) >= 3 GROUP BY ALL HAVING pages >= 3""")
 def frequent_lines(spark, d):
@@ -489,6 +478,65 @@ def heading_sizes(spark, d):
     return I.heading_sizes(_spans(spark, d))
 
 
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\\b.*?</head>', '', 'g'), '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g')"
+_LISTED = lambda xs: ", ".join(f"'{x}'" for x in xs)
+PAGE_BLOCKS = f"""tk AS (SELECT page_id, i, lower(t[i]) AS tag, x[i] AS text FROM (SELECT page_id, regexp_extract_all(h, '{H.TAG}', 1) AS t, regexp_extract_all(h, '{H.TAG}', 2) AS x FROM (SELECT page_id, {_PLAIN} AS h FROM pages)), unnest(range(1, len(t) + 1)) AS r(i)),
+tl AS MATERIALIZED (SELECT *, count_if(tag NOT IN ({_LISTED(H.INLINE)})) OVER w AS line, count_if(tag NOT IN ({_LISTED(H.INLINE)}, 'br')) OVER w AS block,
+  CASE WHEN count_if(tag IN ({_LISTED(H.REGIONS)})) OVER w > count_if(tag IN ({_LISTED(f"/{x}" for x in H.REGIONS)})) OVER w THEN count_if(tag IN ({_LISTED(H.REGIONS)})) OVER w END AS region FROM tk WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+sn AS MATERIALIZED (SELECT page_id, block, line, i, text, CASE tag """ + " ".join(f"WHEN '{h}' THEN {v}" for h, v in H.HEADS.items()) + f""" ELSE 11.0 END AS size, tag IN ('b', 'strong') AS bold, {_STRIPPED.format('text')} AS t FROM tl WHERE text <> ''),
+rl AS (SELECT page_id, region, line, {_STRIPPED.format("string_agg(text, '' ORDER BY i)")} AS cell, 6.0 * max(length(text)) AS x1 FROM tl WHERE region IS NOT NULL AND text <> '' GROUP BY ALL HAVING cell <> ''),
+rt AS MATERIALIZED (SELECT page_id, region, '| ' || string_agg(cell, ' |' || chr(10) || '| ' ORDER BY line) || ' |' AS body, count(*) AS n, 12.0 * min(line) AS y0, max(x1) AS x1, 12.0 * max(line) + 10 AS y1 FROM rl GROUP BY ALL HAVING count(*) > 1),
+pl AS (SELECT page_id, block, line, {_STRIPPED.format("string_agg(text, '' ORDER BY i)")} AS text, round(coalesce(max(size) FILTER (t <> ''), max(size)), 1) AS size, coalesce(bool_or(bold) FILTER (t <> ''), bool_or(bold)) AS bold, 12.0 * line AS y0, 6.0 * max(length(text)) AS x1 FROM sn GROUP BY ALL),
+bx AS (SELECT *, min(y0) OVER w AS b0, max(y0) OVER w + 10 AS b1, max(x1) OVER w AS bx1 FROM pl WINDOW w AS (PARTITION BY page_id, block)),
+sh AS (SELECT * FROM bx WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.page_id = bx.page_id AND bx1 > 0 AND greatest(least(bx1, rt.x1 + 5), 0) * greatest(least(b1, rt.y1 + 5) - greatest(b0, rt.y0 - 16), 0) / (bx1 * (b1 - b0)) > 0.4)),
+zs AS (SELECT page_id, size, sum(length(t)) AS n FROM sn WHERE t <> '' GROUP BY ALL), zb AS (SELECT page_id, coalesce(arg_max(size, (n, -size)) FILTER (n > 0), 11.0) AS body FROM zs GROUP BY ALL),
+zt AS (SELECT page_id, list(size ORDER BY size DESC)[1:4] AS tiers FROM zs JOIN zb USING (page_id) WHERE size > body * 1.12 GROUP BY ALL),
+lv AS (SELECT sh.*, body, coalesce(tiers, []) AS ts, regexp_extract(text, '^\\s*([0-9]+(?:\\.[0-9]+)+)\\.?\\s+\\S', 1) AS dotted, TRY_CAST(nullif(regexp_extract(text, '^\\s*([0-9]{{1,6}})[.)]\\s+\\S', 1), '') AS INT) AS bare FROM sh LEFT JOIN zb USING (page_id) LEFT JOIN zt USING (page_id)),
+ls AS (SELECT *, coalesce(list_filter(list_transform(range(len(ts)), lambda i: CASE WHEN abs(ts[i + 1] - size) < 0.3 THEN i + 1 END), lambda x: x IS NOT NULL)[1], CASE WHEN size > body * 1.12 THEN CASE WHEN len(ts) > 0 THEN len(ts) + 1 ELSE 3 END END) AS sized FROM lv),
+lw AS (SELECT *, CASE WHEN length(text) < 150 THEN CASE WHEN dotted <> '' THEN coalesce(sized, CASE WHEN bold OR length(text) < 100 OR {WORDS.format('text')} < 12 THEN len(ts) + 1 + least(length(regexp_replace(dotted, '[^.]', '', 'g')) - 1, 3) END)
+  WHEN bare IS NOT NULL THEN CASE WHEN length(text) < 100 THEN sized END ELSE sized END END AS level FROM ls),
+lp AS (SELECT *, level IS NOT NULL OR lag(line) OVER w IS NULL OR lag(level) OVER w IS NOT NULL AS fresh FROM lw WINDOW w AS (PARTITION BY page_id ORDER BY line)),
+lq AS (SELECT *, count_if(fresh) OVER (PARTITION BY page_id ORDER BY line) AS part FROM lp),
+pb AS (SELECT page_id, 1 AS last, part, CASE WHEN any_value(level) IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS kind, string_agg(text, chr(10) ORDER BY line) AS text, any_value(level) AS level, arg_min_null(CASE WHEN dotted = '' THEN bare END, line) AS bare_number FROM lq GROUP BY ALL
+  UNION ALL SELECT page_id, 0, region, 'table', regexp_replace(body, ' \\|\n', ' |' || chr(10) || '| --- |' || chr(10)), NULL, NULL FROM rt)"""
+
+
+@query(f"WITH {PAGE_BLOCKS} SELECT page_id AS document_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY last, part) AS INT) AS seq, kind, text, CAST(level AS INT) AS level, bare_number FROM pb")
+def page_blocks(spark, d):
+    """Web pages as blocks: their tags are scanned for lines and for lists, which are regions with a box."""
+    rows = H.tags(V.read(spark, d, "pages"))
+    return I.classify_lines(H.spans(rows), H.regions(rows)).select("document_id", "seq", "kind", "text", "level", "bare_number")
+
+
+_SITE = f"""{PAGE_BLOCKS}, st AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS site, t FROM pages JOIN (SELECT page_id, list(text ORDER BY line) AS t FROM pl WHERE text <> '' GROUP BY ALL) USING (page_id)),
+se AS (SELECT DISTINCT site, page_id, line FROM st, unnest(list_concat(t[1:3], t[greatest(len(t) - 2, 1):])) AS r(line) WHERE length(line) <= 120),
+sc AS (SELECT site, count(DISTINCT page_id) AS pages FROM st GROUP BY ALL HAVING pages >= 3), sk AS (SELECT site, regexp_replace(line, '[0-9]+', '#', 'g') AS key, count(*) AS n FROM se GROUP BY ALL),
+rk AS MATERIALIZED (SELECT site, key, n FROM sk JOIN sc USING (site) WHERE n >= greatest(2, floor(pages * 0.6)))"""
+
+
+def _sites(spark, d):
+    """Web pages as pages of their site, a line of text for each of theirs."""
+    lines = I.page_lines(H.spans(H.tags(V.read(spark, d, "pages"))))
+    text = lines.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    site = V.read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1).alias("site"))
+    return text.withColumnRenamed("document_id", "page_id").join(site, "page_id").select(F.col("site").alias("document_id"), F.col("page_id").alias("page"), "text")
+
+
+@query(f"WITH {_SITE} SELECT site AS document_id, key, n FROM rk")
+def repeated_lines(spark, d):
+    return I.repeated_lines(_sites(spark, d))
+
+
+@query(f"""WITH {_SITE}, ex AS (SELECT page_id, any_value(site) AS site, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT page_id, site, unnest(t) AS line, unnest(range(len(t))) AS i FROM st) AS ln
+  WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.site = ln.site AND rk.key = regexp_replace(line, '[0-9]+', '#', 'g')) AND NOT regexp_full_match(lower(line), 'page\\s+[0-9]+(\\s+of\\s+[0-9]+)?|[0-9]+|[0-9]+\\s*/\\s*[0-9]+') GROUP BY page_id)
+SELECT st.site AS document_id, page_id AS page, coalesce(text, '') AS text FROM st LEFT JOIN ex USING (page_id)""")
+def stripped_pages(spark, d):
+    """Pages without the lines that their site repeats, and without page numbers."""
+    pages = _sites(spark, d)
+    return I.strip_repeated(pages, I.repeated_lines(pages))
+
+
 def _chunks(spark, d):
     blocks = V.lines(spark, d)
     stems = V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws("_", F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"))
@@ -631,19 +679,20 @@ def latest_version(spark, d):
 
 
 def _batches(spark, d):
-    c = V.read(spark, d, "documents").select((F.col("doc_id") % 200).cast("string").alias("source_file"), F.col("doc_id").cast("string").alias("chunk_id"), F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"))
-    files = F.col("source_file").cast("int")
-    new = c.filter(files >= 50).withColumn("content_hash", F.when(files % 3 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
-    return new, c.filter(files < 150)
+    # Files of five documents: a fourth is in the store only, a fourth in the batch only, a third of the others has changed.
+    c = V.read(spark, d, "documents").select(F.floor(F.col("doc_id") / 5).cast("string").alias("source_file"), F.col("doc_id").cast("string").alias("chunk_id"), F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"))
+    files = F.col("source_file").cast("long")
+    new = c.filter(files % 4 != 0).withColumn("content_hash", F.when(files % 3 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    return new, c.filter(files % 4 != 1)
 
 
-@query("""WITH f AS (SELECT DISTINCT doc_id % 200 AS s FROM documents) SELECT CAST(s AS VARCHAR) AS source_file, CASE WHEN s < 50 THEN 'absent' WHEN s >= 150 THEN 'inserted' WHEN s % 3 = 0 THEN 'superseded' ELSE 'unchanged' END AS action FROM f""")
+@query("""WITH f AS (SELECT DISTINCT doc_id // 5 AS s FROM documents) SELECT CAST(s AS VARCHAR) AS source_file, CASE WHEN s % 4 = 0 THEN 'absent' WHEN s % 4 = 1 THEN 'inserted' WHEN s % 3 = 0 THEN 'superseded' ELSE 'unchanged' END AS action FROM f""")
 def load_actions(spark, d):
     return S.load_actions(*_batches(spark, d))
 
 
-@query("""WITH f AS (SELECT DISTINCT doc_id % 200 AS s FROM documents) SELECT CAST(s AS VARCHAR) AS source_file, 1 AS version, CASE WHEN s >= 50 AND s % 3 = 0 THEN 'superseded' ELSE 'active' END AS status FROM f WHERE s < 150
-UNION ALL SELECT CAST(s AS VARCHAR), CASE WHEN s < 150 THEN 2 ELSE 1 END, 'active' FROM f WHERE s >= 150 OR (s >= 50 AND s % 3 = 0)""")
+@query("""WITH f AS (SELECT DISTINCT doc_id // 5 AS s FROM documents) SELECT CAST(s AS VARCHAR) AS source_file, 1 AS version, CASE WHEN s % 4 <> 0 AND s % 3 = 0 THEN 'superseded' ELSE 'active' END AS status FROM f WHERE s % 4 <> 1
+UNION ALL SELECT CAST(s AS VARCHAR), CASE WHEN s % 4 <> 1 THEN 2 ELSE 1 END, 'active' FROM f WHERE s % 4 = 1 OR (s % 4 <> 0 AND s % 3 = 0)""")
 def supersede_status(spark, d):
     new, old = _batches(spark, d)
     documents = old.select("source_file", F.lit(1).alias("version"), F.lit("active").alias("status")).distinct()
@@ -652,8 +701,8 @@ def supersede_status(spark, d):
 
 def _prompts(spark, d):
     c = V.turns(spark, d).filter("role = 'user'")
-    nth = F.row_number().over(Window.partitionBy("turn").orderBy("conv_id"))
-    rows = c.select(F.concat(F.lit("prompt"), F.col("turn").cast("string")).alias("name"), F.lit("text").alias("channel"), nth.alias("version"), F.col("text").alias("content"))
+    c = ahead(c, [F.col("conv_id")], ("turn",), name="nth")
+    rows = c.select(F.concat(F.lit("prompt"), F.col("turn").cast("string")).alias("name"), F.lit("text").alias("channel"), (F.col("nth") + 1).cast("int").alias("version"), F.col("text").alias("content"))
     return rows.withColumn("is_active", F.col("version") == 1)
 
 
