@@ -43,5 +43,5 @@ def test_pages_as_spans(spark):
     page = "<html><head><title>no</title></head><body><h1>Top</h1><script>var a='<p>no</p>'</script><p>one <b>two</b> three<br>four<ul><li><a href='x'>A</a></li><li></li><li>B</li></ul><p>end"
     rows = H.tags(spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "no tags")], "page_id long, html string"))
     blocks = I.classify_lines(H.spans(rows), H.regions(rows)).orderBy("document_id", "seq").collect()
-    assert [(r.document_id, r.kind, r.text) for r in blocks] == [(1, "table", "| A |\n| --- |\n| B |"), (1, "heading", "Top"), (1, "paragraph", "one two three\nend")]
+    assert [(r.document_id, r.kind, r.text) for r in blocks] == [(1, "table", "| A |\n| --- |\n| B |"), (1, "heading", "Top"), (1, "paragraph", "one two three\nfour\nend")]
     assert [r.rows for r in H.regions(rows).collect()] == [[["A"], ["B"]]] and rows.filter(F.col("text").contains("no")).count() == 0
