@@ -56,24 +56,46 @@ def argument_errors(arguments: Column, rules: Column, known: Column) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): how many calls must come before each, by pointer doubling over `after`; null where calls wait for one another."""
+    """(conv_id, call_id, level): how many calls must come before each, one after the other: the longest way through `after` (lists of ids; unknown ones don't count).
+    Null for calls that wait for one another or for such.
+
+    Calls that wait for one other are followed by pointer doubling, in a logarithmic number of rounds, to a call that waits for none or for several. What is left
+    are calls that wait for several: of these, each round settles all whose predecessors are settled."""
+    edges = calls.select("conv_id", "call_id", F.explode("after").alias("after")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("after")).distinct()
-    now = calls.join(known.withColumn("there", F.lit(True)), ["conv_id", "after"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("after"))
-    now = now.withColumn("level", F.when(F.col("after").isNull(), 0).otherwise(1).cast("long"))
+    edges = cut(edges.join(known, ["conv_id", "after"], "left_semi"), "call-edges")
+    counts = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("waits"), F.min("after").alias("after"))
+    now = calls.select("conv_id", "call_id").distinct().join(counts, ["conv_id", "call_id"], "left")
+    one = F.col("waits") == 1
+    now = cut(now.select("conv_id", "call_id", F.when(one, F.col("after")).alias("after"), F.when(one, 1).otherwise(0).cast("long").alias("steps"), F.when(one, None).otherwise(F.col("call_id")).alias("base"), F.coalesce("waits", F.lit(0)).alias("waits")), "calls-ahead")
     # After k rounds each step spans 2**k calls: what still waits when that is more than there are calls, waits for itself.
     for _ in range(calls.count().bit_length() + 1):
         if now.filter("after IS NOT NULL").isEmpty():
             break
-        target = now.select("conv_id", F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("level").alias("more"))
-        waiting = now.filter("after IS NOT NULL").join(target, ["conv_id", "after"]).select("conv_id", "call_id", F.col("next").alias("after"), (F.col("level") + F.col("more")).alias("level"))
+        target = now.select("conv_id", F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("steps").alias("more"), F.col("base").alias("end"))
+        waiting = now.filter("after IS NOT NULL").join(target, ["conv_id", "after"])
+        waiting = waiting.select("conv_id", "call_id", F.col("next").alias("after"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("base"), "waits")
         now = cut(now.filter("after IS NULL").unionByName(waiting), "levels")
-    return now.select("conv_id", "call_id", F.when(F.col("after").isNull(), F.col("level")).alias("level"))
+    now = now.withColumn("base", F.when(F.col("after").isNull(), F.col("base"))).drop("after")
+    settled = now.filter("waits = 0").select("conv_id", F.col("call_id").alias("base"), F.lit(0).cast("long").alias("level"))
+    several = now.filter("waits > 1").select("conv_id", "call_id", "waits")
+    if not several.isEmpty():
+        ways = edges.join(several, ["conv_id", "call_id"]).join(now.select("conv_id", F.col("call_id").alias("after"), "base", "steps"), ["conv_id", "after"])
+        ways = cut(ways.select("conv_id", "call_id", "waits", "base", (F.col("steps") + 1).alias("steps")), "ways")
+        while True:
+            fresh = ways.join(settled, ["conv_id", "base"]).groupBy("conv_id", "call_id", "waits").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("steps") + F.col("level")).alias("level"))
+            fresh = fresh.filter("met = waits").select("conv_id", F.col("call_id").alias("base"), "level")
+            fresh = cut(fresh.join(settled, ["conv_id", "base"], "left_anti"), "settled")
+            if fresh.isEmpty():
+                break
+            settled = cut(settled.unionByName(fresh), "settled")
+    return now.join(settled, ["conv_id", "base"], "left").select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call and per result: conv_id, turn, kind, call_id, name, depth, status, errors, json.
 
-    calls: conv_id, call_id, turn, name, arguments (JSON text), after (the id of a call whose result this one uses, or null). results: conv_id, call_id,
+    calls: conv_id, call_id, turn, name, arguments (JSON text), after (the ids of calls whose results this one uses: a list, or one id, or null). results: conv_id, call_id,
     turn, content. They are joined by conversation and identifier (Spark splits ids that many results share). depth orders them: 2 * level of the
     call, 1 more for its results; rows sorted by (conv_id, depth, turn) come after all that they depend on; it is null for calls that wait for one
     another. status: of calls, ok, no result, invalid (errors says why) or duplicate (of rows with one id, all but the one with the least turn); of
@@ -83,13 +105,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     """
     rules = schema_rules(schemas)
     table = F.create_map(*[x for name, rows in rules.items() for x in (F.lit(name), F.array(*[F.struct(*[F.lit(v) for v in r]) for r in rows]).cast(RULE))]) if rules else F.create_map().cast(f"map<string,{RULE}>")
-    c = calls.select("conv_id", "call_id", "turn", "name", F.try_parse_json("arguments").alias("arguments"), F.col("arguments").alias("raw"), "after")
+    uses = F.col("after") if calls.schema["after"].dataType.typeName() == "array" else F.when(F.col("after").isNotNull(), F.array("after"))
+    c = calls.select("conv_id", "call_id", "turn", "name", F.try_parse_json("arguments").alias("arguments"), F.col("arguments").alias("raw"), F.filter(uses, lambda x: x.isNotNull()).alias("after"))
     # Of calls with one id the first counts: sums before the shuffle.
     first = c.filter("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "raw", "after")).alias("f"), F.count(F.lit(1)).alias("copies"))
     first = first.select("conv_id", "call_id", "f.turn", "f.name", F.col("f.after").alias("after"), "copies")
-    chain = first.filter("after IS NOT NULL").isEmpty()
-    first = first.withColumn("level", F.lit(0).cast("long")) if chain else first.join(levels(first), ["conv_id", "call_id"])
     first = cut(first, "calls")
+    alone = first.filter(F.size("after") > 0).isEmpty()
+    first = first.withColumn("level", F.lit(0).cast("long")) if alone else first.join(levels(first), ["conv_id", "call_id"])
     answers = results.select("conv_id", "call_id", "turn", "content")
     counted = answers.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n_results"))
     info = cut(first.join(counted, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("turn").alias("first_turn"), F.col("name").alias("first_name"), "level", "copies", F.coalesce("n_results", F.lit(0)).alias("n_results")), "linked")

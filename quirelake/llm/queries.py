@@ -21,14 +21,13 @@ def tokenizer_path() -> str:
 
 
 def op1_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
-    calls, results = chat.conversation_events(_read(spark, d, "conversations"), chained=False)
+    calls, results = chat.conversation_events(_read(spark, d, "conversations"))
     return chat.link_tool_calls(calls, results, chat.REPLY)
 
 
 def chat_call_order(spark: SparkSession, d: str) -> DataFrame:
-    """op1's operator over the same table, each call after the user turn before it: the topological order, which op1's calls leave open."""
-    calls, results = chat.conversation_events(_read(spark, d, "conversations"))
-    return chat.link_tool_calls(calls, results, chat.REPLY)
+    """op1, by the name under which the order of calls was first a query of its own."""
+    return op1_chat_formatting(spark, d)
 
 
 def op2_warc(spark: SparkSession, d: str) -> DataFrame:
@@ -103,17 +102,17 @@ _TEMPLATES = ", ".join("({}, '{}', {}, '{}')".format(i, label, base, text.replac
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": """
-WITH c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+WITH c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text, 2 * (dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS depth FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
 n AS (SELECT conv_id, call_id, count(*) AS n FROM r GROUP BY ALL),
-k AS (SELECT conv_id, call_id, min(turn) AS t FROM c GROUP BY ALL),
+k AS (SELECT conv_id, call_id, min(depth) + 1 AS depth FROM c GROUP BY ALL),
 e AS (SELECT c.*, n.n, CASE WHEN length(text) < 20 OR length(text) > 20000 THEN ['bounds: prompt'] ELSE CAST([] AS VARCHAR[]) END
   || CASE WHEN turn < 0 THEN ['bounds: turn'] ELSE CAST([] AS VARCHAR[]) END AS errors FROM c LEFT JOIN n USING (conv_id, call_id))
-SELECT conv_id, turn, 'call' AS kind, call_id, 'reply' AS name, CAST(0 AS BIGINT) AS depth, CASE WHEN len(errors) > 0 THEN 'invalid' WHEN n IS NULL THEN 'no result' ELSE 'ok' END AS status, errors,
-  '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"depth":0,"id":"' || call_id || '","name":"reply","type":"call"}' AS json FROM e
+SELECT conv_id, turn, 'call' AS kind, call_id, 'reply' AS name, CAST(depth AS BIGINT) AS depth, CASE WHEN len(errors) > 0 THEN 'invalid' WHEN n IS NULL THEN 'no result' ELSE 'ok' END AS status, errors,
+  '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"depth":' || depth || ',"id":"' || call_id || '","name":"reply","type":"call"}' AS json FROM e
 UNION ALL
-SELECT r.conv_id, turn, 'result', call_id, CASE WHEN t IS NOT NULL THEN 'reply' END, CASE WHEN t IS NOT NULL THEN 1 END, CASE WHEN t IS NULL THEN 'orphan' ELSE 'ok' END, CAST([] AS VARCHAR[]),
-  '{"content":' || to_json(text) || ',"depth":' || CASE WHEN t IS NULL THEN 'null' ELSE '1' END || ',"id":"' || call_id || '","name":' || CASE WHEN t IS NULL THEN 'null' ELSE '"reply"' END || ',"type":"result"}' FROM r LEFT JOIN k USING (conv_id, call_id)""",
+SELECT r.conv_id, turn, 'result', call_id, CASE WHEN depth IS NOT NULL THEN 'reply' END, depth, CASE WHEN depth IS NULL THEN 'orphan' ELSE 'ok' END, CAST([] AS VARCHAR[]),
+  '{"content":' || to_json(text) || ',"depth":' || coalesce(CAST(depth AS VARCHAR), 'null') || ',"id":"' || call_id || '","name":' || CASE WHEN depth IS NULL THEN 'null' ELSE '"reply"' END || ',"type":"result"}' FROM r LEFT JOIN k USING (conv_id, call_id)""",
     "chat_call_order": """
 WITH c AS (SELECT conv_id, 'call-' || turn AS call_id, turn, text, 2 * (dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS depth FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),

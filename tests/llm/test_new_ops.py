@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import licenses, resample, spelling
+from quirelake.llm import chat, licenses, resample, spelling
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, n long, id long, weight long"
@@ -182,3 +182,32 @@ def test_licenses_without_templates_or_documents(spark):
     assert [(r.n_words, r.n_base, r.labels) for r in licenses.license_scan(docs, phrases=[], notices=[]).orderBy("doc_id").collect()] == [(2, 0, ""), (0, 0, "")]
     assert [(r.n_base, r.labels) for r in licenses.license_scan(docs, phrases=[("x", "license")], notices=[]).orderBy("doc_id").collect()] == [(1, "x"), (0, "")]
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ levels of calls
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_of_random_graphs(spark, seed):
+    """Longest ways, in plain Python: several predecessors, chains, cycles, calls behind cycles, unknown and repeated ids."""
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for conv in (1, 2, 3):
+        n = 40
+        after = {i: [f"c{rng.randrange(i)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if i else [] for i in range(n)}
+        after[5] = ["c5"] if conv == 1 else ["nowhere", None, "c1", "c1"]
+        if conv == 2:
+            after[10], after[12] = ["c12", "c1"], ["c10"]
+        rows += [(conv, f"c{i}", a) for i, a in after.items()]
+
+        def level(i, seen, after=after):
+            known = {int(x[1:]) for x in after[i] if x and x != "nowhere"}
+            if i in seen:
+                return None
+            below = [level(k, seen | {i}) for k in known]
+            return None if None in below else 1 + max(below) if below else 0
+
+        want |= {(conv, f"c{i}"): level(i, frozenset()) for i in range(n)}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls).collect()}
+    assert got == want and max(x or 0 for x in want.values()) > 4 and None in want.values()
