@@ -60,26 +60,33 @@ def ftrl(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int =
     return kept, weights(z[kept], n[kept]), -zb / ((beta + nb**0.5) / alpha)
 
 
+#: Examples up to which all of them are asked of models that have not seen them, in four parts; of more, one part is enough.
+FOLDED = 4000
+
+
 def calibrated(examples: list[tuple[np.ndarray, int]], bits: int = BITS, least: int = 20) -> tuple[np.ndarray, np.ndarray, float]:
-    """Like ftrl, with the bias moved so that scores pass THRESHOLD where it parts labels best: a model of three quarters of the examples is asked for the
-    fourth (if that has `least` toxic ones), and the bias goes half way towards the margin with the best F-measure there, precision counting double (half, as clean documents are to be left alone)."""
+    """Like ftrl, with the bias moved so that scores pass THRESHOLD where it parts labels best: models of three quarters of the examples are asked for the others
+    (if those have `least` toxic ones), and the bias goes to the margin with the best F-measure there."""
     index, value, bias = ftrl(examples, bits)
-    asked = examples[::4]
-    toxic = sum(label for _, label in asked)
-    if toxic < least or toxic == len(asked):
+    parts = range(4 if len(examples) <= FOLDED else 1)
+    label = np.array([y for part in parts for _, y in examples[part::4]])
+    toxic = int(label.sum())
+    if toxic < least or toxic == len(label):
         return index, value, bias
-    i, v, b = ftrl([x for k, x in enumerate(examples) if k % 4], bits)
-    table = np.zeros(1 << bits, np.float32)
-    table[i] = v
-    margin = np.array([b + float(table[x].sum()) for x, _ in asked])
-    label = np.array([y for _, y in asked])
+    margins = []
+    for part in parts:
+        i, v, b = ftrl([x for k, x in enumerate(examples) if k % 4 != part], bits)
+        table = np.zeros(1 << bits, np.float32)
+        table[i] = v
+        margins += [b + float(table[x].sum()) for x, _ in examples[part::4]]
+    margin = np.array(margins)
     order = np.argsort(-margin, kind="stable")
     margin, label = margin[order], label[order]
-    f = 1.25 * np.cumsum(label) / (0.25 * toxic + np.arange(1, len(asked) + 1))
+    f = 2 * np.cumsum(label) / (toxic + np.arange(1, len(label) + 1))
     best = np.flatnonzero(f >= f.max() - 1e-12)
     k = int(best[len(best) // 2])
     cut_at = (margin[k] + margin[min(k + 1, len(margin) - 1)]) / 2
-    return index, value, bias + float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut_at) / 2
+    return index, value, bias + float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut_at)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
