@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, cut_small, fold_ascii, let, whole
-from .decontam import words
-
-#: Shortest terms; least disclosure, as a share of the entity's information; texts a term counts as being in besides those that say it.
-SHORTEST, DISCLOSURE, SMOOTH = 3, 0.8, 2
-#: What names the texts an entity is in: how many, and a hash of all of them.
-GROUP = ("n_entity", "g1", "g2")
+from .decontam import GAP, words
+
+#: Shortest terms; code points around an entity that are its context; least disclosure, and that from which a term is removed rather than generalised.
+SHORTEST, CONTEXT, DISCLOSURE, REMOVED = 3, 80, 0.6, 0.8
+#: Standard deviations by which a share is lowered: a one-sided bound of 75 %.
+BOUND = 0.67
+#: Code points of a bucket, in which spans of a text meet.
+BUCKET = 256
 BROADCAST_ROWS = 1_000_000
 
 # The contract's patterns, written so that a search takes linear time and no deep recursion: runs are possessive where that changes no match, and
@@ -22,7 +25,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
 def luhn(digits: Column) -> Column:
@@ -71,87 +74,108 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def terms_of(text: Column, shortest: int = SHORTEST) -> Column:
     """Distinct words of `shortest` characters or more that are not numbers."""
     return F.array_distinct(F.filter(words(fold_ascii(text)), lambda w: (F.char_length(w) >= shortest) & w.rlike("[^0-9]")))
 
 
-def held_entities(found: DataFrame) -> DataFrame:
-    """(kind, value, t1, t2): each entity and each text that holds it."""
-    return found.select("t1", "t2", F.explode("spans").alias("s")).select("s.kind", "s.value", "t1", "t2").distinct()
+def words_at(texts: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(t1, t2, word, term, start, end) of the terms of texts (t1, t2, text), at every place. A running sum over a text's words, as rows, gives the places."""
+    both = F.arrays_zip(F.split("text", GAP, -1).alias("word"), F.regexp_extract_all("text", F.lit(GAP), F.lit(0)).alias("gap"))
+    rows = texts.select("t1", "t2", F.posexplode(both).alias("nth", "x")).select("t1", "t2", "nth", F.col("x.word").alias("word"), F.char_length("x.word").alias("n"), F.coalesce(F.char_length("x.gap"), F.lit(0)).alias("gap"))
+    before = Window.partitionBy("t1", "t2").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.col("n") + F.col("gap")).over(before), F.lit(0)).cast("int"))
+    return rows.filter((F.col("n") >= shortest) & F.col("word").rlike("[^0-9]")).select("t1", "t2", "word", fold_ascii(F.col("word")).alias("term"), "start", (F.col("start") + F.col("n")).cast("int").alias("end"))
+
+
+def _buckets(rows: DataFrame, around: int = 0) -> DataFrame:
+    """rows with `bucket`, one for each that [start - around, end + around) touches."""
+    cell = lambda c: F.floor(c / BUCKET)
+    return rows.withColumn("bucket", F.explode(F.sequence(cell(F.col("start") - around), cell(F.greatest(F.col("end") + around - 1, F.col("start") - around)))))
+
+
+def lower_bound(k: Column, n: Column, z: float = BOUND) -> Column:
+    """The least share that k of n stands for, z standard deviations down (Wilson)."""
+    p, zz = k / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
-def known_entities(found: DataFrame) -> DataFrame:
-    """(kind, value, *GROUP): every entity, however rare."""
-    return held_entities(found).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor("t1").alias("g1"), F.bit_xor("t2").alias("g2"))
+def held_entities(found: DataFrame) -> DataFrame:
+    """(kind, value, start, end, t1, t2): each place of each entity, of distinct texts."""
+    return found.dropDuplicates(["t1", "t2"]).select("t1", "t2", F.explode("spans").alias("s")).select("s.kind", "s.value", "s.start", "s.end", "t1", "t2")
 
 
-def ratings(found: DataFrame, docs: DataFrame, text_col: str, shortest: int = SHORTEST, smooth: float = SMOOTH) -> DataFrame | None:
-    """(*GROUP, term, disclosure): every term of every entity's texts, or None without entities. Entities in the same texts have the same ratings.
+def ratings(found: DataFrame, docs: DataFrame, text_col: str, shortest: int = SHORTEST, context: int = CONTEXT) -> DataFrame | None:
+    """(kind, value, term, n_both, n_term, disclosure): every term of every entity's context, or None without entities.
 
-    Contexts are distinct texts. A term discloses an entity by their smoothed pointwise mutual information, as a share of the entity's own information:
-    ln(n_both * n / ((n_term + smooth) * n_entity)) / ln(n / n_entity). Smoothing weakens what few texts say; nothing is left out for being rare.
-    found: (t1, t2, text, spans) of the texts with spans.
+    A term's disclosure of an entity is the chance that a text that says the term says it in the entity's context (up to `context` code points away): n_both of n_term
+    distinct texts, lowered by a confidence bound. So it depends on what the term reveals, not on the corpus' size; a term that one text alone says
+    reveals what stands beside it. found: (t1, t2, text, spans) of the texts with spans.
     """
-    known = cut(known_entities(found), "entities")
-    if known.isEmpty():
+    held = cut(held_entities(found), "entities")
+    if held.isEmpty():
         return None
-    held = cut(held_entities(found).join(_bounded(known), ["kind", "value"]).select("t1", "t2", *GROUP).distinct(), "holders")
-    said = found.dropDuplicates(["t1", "t2"]).select("t1", "t2", F.explode(terms_of(F.col("text"), shortest)).alias("term"))
-    both = said.join(held, ["t1", "t2"]).groupBy("term", *GROUP).agg(F.count(F.lit(1)).alias("n_both")).withColumn("h", F.xxhash64("term"))
+    said = words_at(found.dropDuplicates(["t1", "t2"]).select("t1", "t2", "text"), shortest)
+    near = _buckets(held.withColumnsRenamed({"start": "s", "end": "e"}).withColumns({"start": F.col("s"), "end": F.col("e")}), context).select("kind", "value", "t1", "t2", "s", "e", "bucket")
+    meets = near.join(_buckets(said), ["t1", "t2", "bucket"]).filter((F.col("start") < F.col("e") + context) & (F.col("s") - context < F.col("end")) & ~((F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))))
+    both = meets.select("kind", "value", "term", "t1", "t2").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_both")).withColumn("h", F.xxhash64("term"))
     both = cut(both, "pairs")
     candidates = cut(both.select("h").distinct(), "candidates")
     # Copies of a text count as one: each has its share of 1, so that terms are summed before they are shuffled.
     names = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
-    copies = cut(docs.select(*names).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")), "texts")
-    every = docs.select(*names, F.col(text_col).alias("text")).join(cut_small(copies.filter("copies > 1"), "copies"), ["t1", "t2"], "left")
+    copies = docs.select(*names).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    every = docs.select(*names, F.col(text_col).alias("text")).join(cut_small(copies, "copies"), ["t1", "t2"], "left")
     hashes = F.transform(terms_of(whole(F.col("text")), shortest), lambda w: F.xxhash64(w))
     every = every.select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(hashes).alias("h"))
     # Too many to broadcast: all terms are summed first.
     every = every.join(F.broadcast(candidates), "h", "left_semi") if candidates.count() <= BROADCAST_ROWS else every
     n_term = every.groupBy("h").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
-    n = F.lit(float(copies.count()))
-    own = F.log(n / F.col("n_entity"))
-    disclosure = F.when(own > 0, F.log(F.col("n_both") * n / ((F.col("n_term") + smooth) * F.col("n_entity"))) / own).otherwise(0.0)
-    return both.join(n_term, "h").select(*GROUP, "term", disclosure.alias("disclosure"))
-
-
-def term_spans(disclosing: DataFrame, texts: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(t1, t2, _terms): the spans of disclosing terms in each distinct text that says any. Whole texts move only if they do."""
-    disclosing = _bounded(cut(disclosing.select(F.xxhash64("term").alias("h")), "disclosing"))
-    said = texts.select("t1", "t2", F.explode(terms_of(F.col("text"), shortest)).alias("term")).withColumn("h", F.xxhash64("term")).join(disclosing, "h", "left_semi")
-    told = cut(said.groupBy("t1", "t2").agg(F.collect_set("term").alias("terms")), "told")
-    telling = texts.join(_bounded(told.select("t1", "t2")), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).join(told, ["t1", "t2"])
-    # Longer terms first; terms hold no characters that patterns give a meaning.
-    edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-    listed = F.array_join(F.sort_array(F.col("terms"), asc=False), "|")
-    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), listed, F.lit(f")(?!{edge})"))
-    return telling.select("t1", "t2", matches(fold_ascii(F.col("text")), pattern, "term").alias("_terms"))
-
-
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, threshold: float = DISCLOSURE, smooth: float = SMOOTH, with_text: bool = False) -> DataFrame:
+    return both.join(n_term, "h").select("kind", "value", "term", "n_both", "n_term", lower_bound(F.col("n_both"), F.greatest("n_term", "n_both")).alias("disclosure"))
+
+
+def generalised(word: Column) -> Column:
+    """What a word is put down to: a code, a name or a word."""
+    return F.when(word.rlike("[0-9]"), "[CODE]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
+def term_spans(disclosing: DataFrame, texts: DataFrame, found: DataFrame, shortest: int = SHORTEST, removed: float = REMOVED) -> DataFrame:
+    """(t1, t2, _terms): the spans of disclosing terms (term, disclosure) in each distinct text that says any, but for those that overlap base spans (found).
+
+    Words of such texts are joined to terms by hash and compared; whole texts move only if they say a term. value is what a span is replaced by."""
+    listed = cut(disclosing.groupBy("term").agg(F.max("disclosure").alias("disclosure")).withColumn("h", F.xxhash64("term")), "disclosing")
+    few = lambda df: F.broadcast(df) if listed.count() <= BROADCAST_ROWS else df
+    said = texts.select("t1", "t2", F.explode(F.transform(terms_of(F.col("text"), shortest), lambda w: F.xxhash64(w))).alias("h")).join(few(listed.select("h")), "h", "left_semi")
+    telling = cut_small(said.select("t1", "t2").distinct(), "telling")
+    words_ = words_at(texts.join(telling, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]), shortest).withColumn("h", F.xxhash64("term"))
+    put = F.when(F.col("disclosure") >= removed, "[TERM]").otherwise(generalised(F.col("word")))
+    spans = cut(words_.join(few(listed), ["h", "term"]).select("t1", "t2", F.lit("term").alias("kind"), "start", "end", put.alias("value")), "term-spans")
+    base = _buckets(held_entities(found)).select("t1", "t2", "bucket", F.col("start").alias("s"), F.col("end").alias("e"))
+    over = _buckets(spans).join(base, ["t1", "t2", "bucket"]).filter((F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).select("t1", "t2", "start").distinct()
+    clear = spans.join(over, ["t1", "t2", "start"], "left_anti")
+    return clear.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("_terms"))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, threshold: float = DISCLOSURE, removed: float = REMOVED, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_base (base spans of all kinds), and with_text the sanitised text.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, comma-joined; code points, end exclusive. Base spans are the
-    patterns' matches. A term that discloses any entity is marked in all texts, with base spans or without, wherever it does not overlap a base span.
-    In the sanitised text, spans are replaced by their kinds, overlapping ones by the first. Null and empty texts have no spans. Repeated rows each give a row and count as one text in the statistics. An empty table gives an empty result. Other columns are
+    patterns' matches. A term that discloses any entity (see ratings) is marked in all texts, with base spans or without, wherever it does not overlap a base span.
+    In the sanitised text, spans are replaced by their kinds, overlapping ones by the first; terms are generalised to [CODE], [NAME] or [WORD], and those that disclose
+    `removed` or more are removed ([TERM]). Null and empty texts have no spans. Repeated rows each give a row and count as one text in the statistics. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
     text = whole(F.col(text_col))
     names = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
     first = docs.select(F.col(id_col).alias("id"), *names, text.alias("text"), base_spans(text).alias("spans"))
     all_ = cut(first.withColumn("text", F.when((F.size("spans") > 0) | F.lit(with_text), F.col("text"))), "spans")
-    rated = ratings(all_.filter(F.size("spans") > 0).select("t1", "t2", "text", "spans"), docs, text_col, shortest, smooth)
+    found = all_.filter(F.size("spans") > 0).select("t1", "t2", "text", "spans")
+    rated = ratings(found, docs, text_col, shortest)
+    none = F.slice("spans", 1, 0)
     if rated is None:
-        both = all_.withColumn("more", F.slice("spans", 1, 0))
+        both = all_.withColumn("more", none)
     else:
-        marks = cut_small(term_spans(rated.filter(F.col("disclosure") >= threshold).select("term").distinct(), docs.select(*names, text.alias("text")), shortest), "marks")
-        clear = let(F.col("spans"), lambda base: F.filter(F.col("_terms"), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-        both = all_.join(marks, ["t1", "t2"], "left").withColumn("more", F.when(F.col("_terms").isNull(), F.slice("spans", 1, 0)).otherwise(clear)).drop("_terms")
+        marks = term_spans(rated.filter(F.col("disclosure") >= threshold).select("term", "disclosure"), docs.select(*names, text.alias("text")), found, shortest, removed)
+        both = all_.join(cut_small(marks, "marks"), ["t1", "t2"], "left").withColumn("more", F.coalesce("_terms", none)).drop("_terms")
     name = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     out = [F.col("id").alias(id_col), *map(count, ("email", "ip", "card", "phone")), F.sha2(name(F.col("spans")).cast("binary"), 256).alias("base_sha256"), name(F.concat("spans", "more")).alias("spans"), F.size("more").cast("long").alias("n_term"), F.size("spans").cast("long").alias("n_base")]
@@ -159,13 +183,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """text with spans replaced by placeholders; of overlapping ones, the first counts."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """text with spans replaced by placeholders (of terms, by their values); of overlapping ones, the first counts."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     names = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        put = F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["kind"]))
+        put = F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.when(s["kind"] == "term", s["value"]).otherwise(F.try_element_at(names, s["kind"])))
         return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(a)
 
     return F.when(F.size(spans) > 0, let(F.aggregate(order, zero, step), lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))).otherwise(text)

@@ -282,35 +282,80 @@ def test_disclosing_terms(spark):
         at = texts[i].index("Zorblatt")
         assert f"term:{at}:{at + 8}" in r.spans and "[TERM] at [EMAIL]" in r.sanitised
     assert all(r.sanitised == texts[r.doc_id] for r in got if not r.n_term and not r.n_email)
-    # Copies of one text count once, so what only they say is not held against them.
+    # Copies of one text count once: what they alone say is known from one text, which is enough to put it down to a name, not to remove it.
     copies = [texts[0]] * 6 + texts[10:]
-    assert not any(r.n_term for r in pii.find_pii(table(spark, copies)).collect())
+    got = pii.find_pii(table(spark, copies), with_text=True).collect()
+    assert all("[WORD] [NAME] at [EMAIL]" in r.sanitised for r in got if r.n_email) and sum(r.n_term for r in got) == 12
 
 
-def rated_entities(docs):
-    """(entities, those with a rating, those with a disclosing term) of a whole table."""
-    found = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text", pii.base_spans(whole(F.col("text"))).alias("spans")).filter(F.size("spans") > 0)
-    known = pii.known_entities(found).collect()
-    rated = {(r.n_entity, r.g1, r.g2): r.most for r in pii.ratings(found, docs, "text").groupBy(*pii.GROUP).agg(F.max("disclosure").alias("most")).collect()}
-    best = [rated.get((r.n_entity, r.g1, r.g2)) for r in known]
-    return len(best), sum(x is not None for x in best), sum(x is not None and x >= pii.DISCLOSURE for x in best)
+def found_in(docs):
+    return docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text", pii.base_spans(whole(F.col("text"))).alias("spans")).filter(F.size("spans") > 0)
 
 
 def test_entities_of_every_frequency_are_rated(spark):
     texts = [f"all write here {i}" for i in range(400)] + ["Zorblatt write zed@firm.org here", "call +1 415 555 1234 write here", "qua here 10.0.0.1"]
     docs = table(spark, texts)
-    assert rated_entities(docs) == (3, 3, 3)
+    best = pii.ratings(found_in(docs), docs, "text").groupBy("kind", "value").agg(F.max("disclosure").alias("most")).collect()
+    assert len(best) == 3 and all(r.most >= pii.DISCLOSURE for r in best)
     got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
     assert "term:0:8" in got[400] and "term:0:4" in got[401] and "term:0:3" in got[402]
     assert not any("term" in got[i] for i in range(400))
 
 
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def disclosed(texts):
+    """(ratings, spans by text): in plain Python, over distinct texts."""
+    kinds = sorted({t for t in texts if t is not None})
+    said = {t: [(ascii_lower(m[0]), m.start(), m.end(), m[0]) for m in TERM.finditer(t) if len(m[0]) >= 3 and re.search("[^0-9]", m[0])] for t in kinds}
+    n_term = Counter(w for t in kinds for w in {x[0] for x in said[t]})
+    n_both = Counter()
+    for t in kinds:
+        pairs = set()
+        for kind, a, b in base_spans(t):
+            value = t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub("[^0-9]", "", t[a:b])
+            pairs |= {(kind, value, w) for w, s, e, _ in said[t] if s < b + pii.CONTEXT and a - pii.CONTEXT < e and not (s < b and a < e)}
+        n_both.update(pairs)
+    z = pii.BOUND
+    rated = {}
+    for (kind, value, w), k in n_both.items():
+        n, p = n_term[w], k / n_term[w]
+        rated[kind, value, w] = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    bad = {w for (_, _, w), x in rated.items() if x >= pii.DISCLOSURE}
+    spans = {t: [(s, e) for w, s, e, _ in said[t] if w in bad and not any(s < b and a < e for _, a, b in base_spans(t))] for t in kinds}
+    return rated, spans
+
+
+def test_ratings_and_term_spans_against_brute_force(spark):
+    rng = random.Random(9)
+    names = ["Ann", "Bo", "ÉTÉ", "x9y", "Carl", "日本語"]
+    mail = lambda: rng.choice(["a@b.co", "c.d@e.org", "10.1.2.3", "+1 415 555 1234", "4111 1111 1111 1111"])
+    texts = [" ".join(rng.choice([rng.choice(WORDS), rng.choice(names), f"h{rng.randrange(400)}"]) + rng.choice([" ", ", ", "  "]) for _ in range(rng.randrange(40))) + (f" {mail()} " if rng.random() < 0.3 else "") + rng.choice(["", "tail word", "a@b.co, c.d@e.org"]) for _ in range(150)]
+    texts += [None, "", texts[3], texts[3], f"{'far ' * 60}a@b.co{' near' * 60}", "a@b.coa@b.co zorb 10.1.2.3"]
+    rated, spans = disclosed(texts)
+    docs = table(spark, texts)
+    got = {(r.kind, r.value, r.term): r.disclosure for r in pii.ratings(found_in(docs), docs, "text").collect()}
+    assert got.keys() == rated.keys() and all(abs(got[k] - v) < 1e-9 for k, v in rated.items())
+    for r in pii.find_pii(docs).collect():
+        t = texts[r.doc_id]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")] == (spans[t] if t is not None else [])
+    assert sum(map(len, spans.values())) > 20
+
+
+def test_terms_of_a_very_long_text(spark):
+    long = " ".join(f"q{i}z" for i in range(300_000)) + " me@x.org " + "again " * 1000
+    got = pii.find_pii(table(spark, [long, "q299999z said", "other", None])).orderBy("doc_id").collect()
+    assert got[0].n_term > 10 and got[1].spans == "" and got[0].n_email == 1
+
+
 def test_disclosing_terms_are_marked_in_all_documents(spark):
-    texts = [f"all write here {i}" for i in range(4000)] + ["Zorblatt write zed@firm.org here", "all say ZORBLATT here", "all say zorblatts here", "zorblatt, zorblatt 10.0.0.1", "all say ZORBLATT here", None]
+    said = [f"Zorblatt write zed@firm.org here {i}" for i in range(9)]
+    texts = [f"all write here {i}" for i in range(4000)] + [*said, "all say ZORBLATT here", "all say zorblatts here", "zorblatt, zorblatt 10.0.0.1", "all say ZORBLATT here", None]
     got = {r.doc_id: r for r in pii.find_pii(table(spark, texts), with_text=True).collect()}
-    assert got[4001].spans == got[4004].spans == "term:8:16" and got[4001].sanitised == got[4004].sanitised == "all say [TERM] here" and got[4001].n_term == 1
-    assert got[4003].sanitised == "[TERM], [TERM] [IP]" and got[4000].sanitised == "[TERM] write [EMAIL] here"
-    assert got[4002].n_term == 0 and not any(got[i].n_term for i in range(4000)) and got[4005].spans == ""
+    assert got[4009].spans == got[4012].spans == "term:8:16" and got[4009].sanitised == got[4012].sanitised == "all say [NAME] here" and got[4009].n_term == 1
+    assert got[4011].sanitised == "[WORD], [WORD] [IP]" and got[4000].sanitised == "[NAME] write [EMAIL] here 0"
+    assert got[4010].n_term == 0 and not any(got[i].n_term for i in range(4000)) and got[4013].spans == ""
     assert {r.doc_id: r.spans for r in pii.find_pii(table(spark, texts)).collect()} == {i: r.spans for i, r in got.items()}
 
 
@@ -318,7 +363,10 @@ def test_all_entities_of_the_table_are_rated(spark):
     d = "/root/testdata/sf0.1"
     if not os.path.exists(d):
         pytest.skip("no tables here")
-    entities, rated, _ = rated_entities(spark.read.parquet(f"{d}/documents.parquet"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    found = found_in(docs).cache()
+    entities = pii.held_entities(found).select("kind", "value").distinct().count()
+    rated = pii.ratings(found, docs, "text").select("kind", "value").distinct().count()
     assert entities == rated == 593
 
 
