@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, let, whole
+from .common import cut, cut_small, let, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -72,14 +72,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(whole(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"), *[c.alias(k) for k, c in _keys(seed, id_col, text_col).items()])
     base = cut(base, "sizes")
-    sizes = cut(targets(base.groupBy("source").agg(F.sum("size").alias("size")), share, most, weights), "targets")
+    sizes = cut_small(targets(base.groupBy("source").agg(F.sum("size").alias("size")), share, most, weights), "targets")
     on_source = lambda a, b: a["source"].eqNullSafe(b["source"])
-    small = F.broadcast(sizes.withColumnRenamed("size", "source_size"))  # a row for each source
+    small = sizes.withColumnRenamed("size", "source_size")  # a row for each source
     named = base.join(small, on_source(base, small)).select("id", base["source"], "size", "_k1", "_k2", "rank", "source_size", "target")
     # Running sums in two levels, so that no source's documents meet in one task.
     part = named.withColumn("part", F.pmod("_k1", F.lit(PARTS)).cast("int"))
     ahead = part.groupBy("rank", "part").agg(F.sum("size").alias("n"))
-    ahead = F.broadcast(ahead.select("rank", "part", (F.sum("n").over(Window.partitionBy("rank").orderBy("part")) - F.col("n")).alias("ahead")))
+    ahead = cut_small(ahead.select("rank", "part", (F.sum("n").over(Window.partitionBy("rank").orderBy("part")) - F.col("n")).alias("ahead")), "ahead")
     order = Window.partitionBy("rank", "part").orderBy("_k1", "_k2")
     placed = part.join(ahead, ["rank", "part"]).withColumns({"start": F.col("ahead") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "nth": F.row_number().over(order)})
     placed = cut(placed.select("id", F.struct("rank", "part", "nth").alias("uid"), "source", "size", "source_size", "target", "rank", "start", "_k1", "_k2"), "placed")
@@ -128,15 +128,15 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The mix as documents, columns as in docs: a row for each pass over a document that takes words of it. Where a pass takes the whole
     document, its text is unchanged; else it holds the taken words, single-spaced, in their order. n_chars, if there, follows the text."""
     placed, pieces, slots = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    got = taken_ranges(pieces, slots).groupBy("uid", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_ranges"), F.sum(F.col("to") - F.col("from")).alias("_taken"))
-    got = got.join(placed.select("uid", "_k1", "_k2", F.col("size").alias("_size")), "uid").select("_k1", "_k2", "_size", "_taken", F.when(F.col("_taken") < F.col("_size"), F.col("_ranges")).alias("_ranges"))
-    # Rows with equal ids and texts stand for one another, so each row of the mix may take its text from any of them.
-    rows = docs.withColumns(_keys(seed, id_col, text_col)).dropDuplicates(["_k1", "_k2"]).join(got, ["_k1", "_k2"])
-    words = let(F.regexp_extract_all(whole(F.col(text_col)), F.lit(WORD), F.lit(0)), lambda w: F.flatten(F.transform("_ranges", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))))
-    rows = rows.withColumn(text_col, F.when(F.col("_ranges").isNull(), F.col(text_col)).otherwise(F.array_join(words, " ")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    got = taken_ranges(pieces, slots).groupBy("uid", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"), F.sum(F.col("to") - F.col("from")).alias("taken"))
+    got = got.join(placed.select("uid", "_k1", "_k2", "size"), "uid").select("_k1", "_k2", F.when(F.col("taken") < F.col("size"), F.col("ranges")).alias("ranges"))
+    # Rows with equal ids and texts stand for one another, so each row of the mix may take its text from any of them. The row's own columns travel as one.
+    rows = docs.select(F.struct("*").alias("doc"), *[c.alias(k) for k, c in _keys(seed, id_col, text_col).items()]).dropDuplicates(["_k1", "_k2"]).join(got, ["_k1", "_k2"])
+    own = F.col("doc").getField(text_col)
+    words = let(F.regexp_extract_all(whole(own), F.lit(WORD), F.lit(0)), lambda w: F.flatten(F.transform("ranges", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))))
+    rows = rows.select("doc", F.when(F.col("ranges").isNull(), own).otherwise(F.array_join(words, " ")).alias("text"))
+    new = {text_col: F.col("text"), "n_chars": F.char_length("text")}
+    return rows.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("doc").getField(f.name).alias(f.name) for f in docs.schema])
 
 
 def _keys(seed: int, id_col: str, text_col: str) -> dict[str, Column]:
