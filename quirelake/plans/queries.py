@@ -16,6 +16,7 @@ from ..operators import analytics as A
 from ..operators import dialog as G
 from ..operators import duplicates as D
 from ..operators import ingest as I
+from ..operators import phrases as P
 from ..operators import retrieval as R
 from ..operators import shingle_index as X
 from ..operators import store as S
@@ -646,6 +647,24 @@ def turn_intents(spark, d):
     return rows.select("conv_id", "turn", G.smalltalk(text, PHRASES, history).alias("smalltalk"), G.lookup_intent(text, LOOKUP).alias("lookup"), G.is_catalog_question(text, CATALOG, history).alias("catalog"))
 
 
+# Phrases edited as a table: the first words of each benchmark item, three and two of them.
+_EDITED = f"SELECT CAST(n AS VARCHAR) AS category, array_to_string(string_split({NORM.format('text')}, ' ')[1:n], ' ') AS phrase FROM benchmark, unnest([2, 3]) AS r(n)"
+
+
+def _edited(spark, d):
+    words = F.split(T.normalise_utterance(F.col("text")), " ")
+    return V.read(spark, d, "benchmark").select(words.alias("w"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n")).select(F.col("n").cast("string").alias("category"), F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT category, phrase, len(string_split(phrase, ' ')) AS n FROM ({_EDITED}) WHERE phrase <> ''), t AS (SELECT doc_id, string_split({NORM.format('text')}, ' ') AS w FROM documents),
+g AS (SELECT doc_id, k - 1 AS at_, n, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM t, (SELECT DISTINCT n FROM e), unnest(range(1, len(w) - n + 2)) AS r(k))
+SELECT doc_id AS document_id, category, phrase, count(*) AS places, CAST(min(at_) AS INT) AS first FROM g JOIN e USING (phrase, n) GROUP BY ALL""")
+def phrase_places(spark, d):
+    """Where the phrases of a table stand in documents."""
+    texts = V.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return P.phrase_hits(texts, _edited(spark, d), "document_id").groupBy("document_id", "category", "phrase").agg(F.count(F.lit(1)).alias("places"), F.min("at").alias("first"))
+
+
 @query(None)
 def turn_plan(spark, d):
     return G.plan_turns(V.turns(spark, d), topics=TOPICS).withColumn("expansions", F.array_join("expansions", ";"))
@@ -658,7 +677,14 @@ def lookup_replay(spark, d):
     return G.lookup_replay(V.turns(spark, d), rules, PHRASES, CATALOG).select("conv_id", "turn", "intent", "user_turn", "documented", "query")
 
 
-@query(None)
+_SHOWN = "CASE WHEN upper({0}) = {0} AND lower({0}) <> {0} THEN array_to_string(list_transform(string_split(lower({0}), ' '), lambda x: upper(x[1]) || x[2:]), ' ') ELSE {0} END"
+_NAMED = "array_to_string(names[:len(names) - 1], ', ') || CASE WHEN len(names) > 1 THEN ' and ' ELSE '' END || names[len(names)]"
+_EACH = "array_to_string(list_transform(names, lambda x, i: CASE WHEN i = 1 THEN 'That''s in the ' ELSE 'It''s also in the ' END || langs[i] || ' section of the ' || x || '.'), ' ')"
+
+
+@query(f"""WITH {FUSED}, {DOCS}, r AS (SELECT query_id, chunk_id, round(fused_score, 9) AS fused_score FROM fu), tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id) AS rank FROM r QUALIFY rank <= 3),
+an AS (SELECT query_id, list({_SHOWN.format('document_title')} ORDER BY rank) AS names, list(lang ORDER BY rank) AS langs FROM tp JOIN dv ON document_id = chunk_id GROUP BY ALL)
+SELECT query_id, CASE WHEN len(names) > 1 THEN 'That drew on the ' || {_NAMED} || '.' ELSE 'That came from the ' || names[1] || ', in the section ' || langs[1] || '.' END AS reply, {_EACH} AS "where" FROM an""")
 def source_replies(spark, d):
     docs = V.documents(spark, d)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.concat_ws(" > ", "document_title", "lang").alias("section_path"), "text")
@@ -667,6 +693,46 @@ def source_replies(spark, d):
     return G.source_reply(results).join(where, "query_id")
 
 
+# Frequent words of the invented prose stand in for those of a question about where an answer came from, and for how a refusal begins.
+ASKING = {"max_words": 10_000, "wh": ["the", "de", "die", "el"], "you": ["of", "la", "der", "que"], "verbs": ["and", "et", "und", "y"], "anaphors": ["to", "in", "en", "zu", "le"], "source": [], "section": [], "page": [], "section_words": [], "page_words": [], "tail": [], "exclude": [], "fillers": [], "forms": {}}
+NO_MATCH = "The "
+_ANY = lambda k: f"list_has_any(w, {_list(ASKING[k])})"
+
+
+@query(f"""WITH {HISTORY}, {SPARSE}, {DOCS}, lk AS (SELECT conv_id, turn, role, text, norm, string_split(norm, ' ') AS w FROM hi),
+it AS MATERIALIZED (SELECT conv_id, turn, role, text, role = 'user' AND norm <> '' AND {_ANY('wh')} AND {_ANY('you')} AND {_ANY('verbs')} AND {_phrase('norm', ASKING['anaphors'])} AS asks FROM lk),
+p AS (SELECT conv_id, turn, role, asks AS skip, lead(role) OVER w AS nr, lead(turn) OVER w AS nt FROM it WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT *, CASE WHEN role = 'user' AND nr = 'assistant' THEN turn END AS u, CASE WHEN role = 'user' AND nr = 'assistant' AND NOT skip THEN turn END AS g FROM p),
+y AS (SELECT conv_id, turn, coalesce(max(g) OVER w, max(u) OVER w) AS user_turn FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rp AS MATERIALIZED (SELECT i.conv_id, i.turn, y.user_turn, coalesce(NOT e.asks AND NOT (starts_with(a.text, '{NO_MATCH}') OR starts_with(lower(a.text), 'i couldn''t find')), false) AS documented FROM it i JOIN y USING (conv_id, turn) LEFT JOIN it e ON e.conv_id = i.conv_id AND e.turn = y.user_turn
+  LEFT JOIN p n ON n.conv_id = i.conv_id AND n.turn = y.user_turn LEFT JOIN it a ON a.conv_id = i.conv_id AND a.turn = n.nt WHERE i.asks),
+fw AS (SELECT conv_id, turn AS user_turn, text, CASE WHEN {_FOLLOW} THEN array_to_string(list_append(users[greatest(len(users) - 1, 1):], text), ' ') ELSE text END AS query, {_FOLLOW} AS context,
+  CAST(CASE WHEN NOT {_FOLLOW} THEN 1.0 WHEN {_HEAVY} THEN 0.5 WHEN {_IDENT} THEN 0.25 ELSE 1.0 END AS DOUBLE) AS ws, CAST(CASE WHEN NOT {_FOLLOW} THEN 1.0 WHEN {_HEAVY} OR {_IDENT} THEN 1.0 ELSE 0.5 END AS DOUBLE) AS wc FROM us),
+tx AS MATERIALIZED (SELECT conv_id, turn, 0 AS part, query AS text, wc AS weight FROM rp JOIN fw USING (conv_id, user_turn) WHERE documented UNION ALL SELECT conv_id, turn, 1, text, ws FROM rp JOIN fw USING (conv_id, user_turn) WHERE documented AND context),
+de AS (SELECT conv_id, turn, part, e.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM tx JOIN embeddings q ON q.vec_id = length(text) % 400, embeddings e),
+tk AS (SELECT conv_id, turn, part, token, count(*) AS n FROM tx, unnest(string_split({SQUASH.format('text')}, ' ')) AS r(token) WHERE token <> '' GROUP BY ALL),
+se AS (SELECT conv_id, turn, part, chunk_id, round(sum(n * weight), 6) AS score FROM tk JOIN sv USING (token) GROUP BY ALL),
+li AS (SELECT conv_id, turn, part, chunk_id, row_number() OVER (PARTITION BY conv_id, turn, part ORDER BY score DESC, chunk_id) AS rank FROM de QUALIFY rank <= 20
+  UNION ALL SELECT conv_id, turn, part, chunk_id, row_number() OVER (PARTITION BY conv_id, turn, part ORDER BY score DESC, chunk_id) AS rank FROM se WHERE score > 0 QUALIFY rank <= 20),
+fs AS (SELECT conv_id, turn, chunk_id, round(sum(weight / (60 + rank)), 9) AS score FROM li JOIN tx USING (conv_id, turn, part) GROUP BY ALL),
+tp AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, chunk_id) AS rank FROM fs QUALIFY rank <= 3),
+an AS (SELECT conv_id, turn, list(chunk_id ORDER BY rank) AS ids, list({_SHOWN.format('document_title')} ORDER BY rank) AS names, list(lang ORDER BY rank) AS langs FROM tp JOIN dv ON document_id = chunk_id GROUP BY ALL)
+SELECT conv_id, turn, k || '_lookup' AS type, coalesce(array_to_string(ids, ','), '') AS chunk_ids, CASE WHEN NOT documented THEN 'That answer didn''t come from a policy document.' WHEN names IS NULL THEN 'I couldn''t work out which document that came from.'
+  WHEN k = 'source' THEN CASE WHEN len(names) > 1 THEN 'That drew on the ' || {_NAMED} || '.' ELSE 'That came from the ' || names[1] || ', in the section ' || langs[1] || '.' END
+  WHEN k = 'section' THEN {_EACH} ELSE 'I don''t have page numbers for that document, but it''s in the ' || langs[1] || ' section of the ' || names[1] || '.' END AS reply FROM rp LEFT JOIN an USING (conv_id, turn), unnest(['source', 'section', 'page']) AS z(k)""")
+def lookup_answers(spark, d):
+    """Every turn that asks where an answer came from: its exchange is found, searched again and answered, as a question for the source, section and page."""
+    replays = G.lookup_replay(V.turns(spark, d), ASKING, {}, CATALOG, no_match=NO_MATCH)
+    plans = replays.filter("documented").withColumn("query_id", F.struct("conv_id", "turn"))
+    vectors = V.read(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
+    embed = lambda t: t.withColumn("vec_id", (F.char_length("text") % 400).cast("long")).join(vectors, "vec_id").select("query_id", "vector")
+    docs = V.documents(spark, d)
+    chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.concat_ws(" > ", "document_title", "lang").alias("section_path"), "text")
+    results = R.details(G.search_plans(plans, embed, V.dense(spark, d), V.sparse(spark, d)), chunks, docs)
+    asked = replays.withColumn("intent", F.explode(F.array(F.lit("source"), F.lit("section"), F.lit("page"))))
+    return G.lookup_answers(asked, results).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
 # ------------------------------------------------------------------ store
 
 VERSIONS = "vs AS (SELECT source AS source_file, doc_id AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version FROM documents)"
