@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, cut_small, fold_ascii, let, whole
-from .decontam import GAP, words
+from .decontam import words
 
 #: Shortest terms; code points around an entity that are its context; least disclosure, and that from which a term is removed rather than generalised.
 SHORTEST, CONTEXT, DISCLOSURE, REMOVED = 3, 80, 0.6, 0.8
@@ -19,6 +18,7 @@ BROADCAST_ROWS = 1_000_000
 
 # The contract's patterns, written so that a search takes linear time and no deep recursion: runs are possessive where that changes no match, and
 # a search does not start again inside a run in which it has failed (\G: where the match before ended).
+_LETTER = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -79,19 +79,38 @@ def terms_of(text: Column, shortest: int = SHORTEST) -> Column:
     return F.array_distinct(F.filter(words(fold_ascii(text)), lambda w: (F.char_length(w) >= shortest) & w.rlike("[^0-9]")))
 
 
+#: A piece of a text: PIECE code points and the rest of the word that they end in. Words are never cut, and places are summed within pieces and over them.
+PIECE = 400
+_PIECES = rf"(?s).{{1,{PIECE}}}{_LETTER}*+"
+
+
+def _placed(parts: Column, start: Column) -> Column:
+    """(text, start, end) of texts that follow one another."""
+    one = lambda x, at: F.array(F.struct(x.alias("text"), at.alias("start"), (at + F.char_length(x)).alias("end")))
+    zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    return F.aggregate(parts, zero, lambda a, x: F.struct((a["at"] + F.char_length(x)).alias("at"), F.concat(a["out"], one(x, a["at"])).alias("out")))["out"]
+
+
+def pieces(texts: DataFrame) -> DataFrame:
+    """texts with a row for each piece of `text`, as piece (text, start, end)."""
+    return texts.withColumn("piece", F.explode(_placed(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)), F.lit(0)))).drop("text")
+
+
+def terms_in(piece: Column, shortest: int = SHORTEST) -> Column:
+    """(text, start, end) of a piece's terms."""
+    runs = F.regexp_extract_all(piece["text"], F.lit(rf"{_LETTER}++|[^{_LETTER[1:]}++"), F.lit(0))
+    return F.filter(_placed(runs, piece["start"]), lambda x: (x["end"] - x["start"] >= shortest) & x["text"].rlike(rf"\A{_LETTER}") & x["text"].rlike("[^0-9]"))
+
+
 def words_at(texts: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(t1, t2, word, term, start, end) of the terms of texts (t1, t2, text), at every place. A running sum over a text's words, as rows, gives the places."""
-    both = F.arrays_zip(F.split("text", GAP, -1).alias("word"), F.regexp_extract_all("text", F.lit(GAP), F.lit(0)).alias("gap"))
-    rows = texts.select("t1", "t2", F.posexplode(both).alias("nth", "x")).select("t1", "t2", "nth", F.col("x.word").alias("word"), F.char_length("x.word").alias("n"), F.coalesce(F.char_length("x.gap"), F.lit(0)).alias("gap"))
-    before = Window.partitionBy("t1", "t2").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.col("n") + F.col("gap")).over(before), F.lit(0)).cast("int"))
-    return rows.filter((F.col("n") >= shortest) & F.col("word").rlike("[^0-9]")).select("t1", "t2", "word", fold_ascii(F.col("word")).alias("term"), "start", (F.col("start") + F.col("n")).cast("int").alias("end"))
+    """(t1, t2, word, term, start, end) of the terms of texts (t1, t2, text), at every place, where the texts lie."""
+    rows = pieces(texts.select("t1", "t2", "text")).select("t1", "t2", F.explode(terms_in(F.col("piece"), shortest)).alias("x"))
+    return rows.select("t1", "t2", F.col("x.text").alias("word"), fold_ascii(F.col("x.text")).alias("term"), "x.start", "x.end")
 
 
-def _buckets(rows: DataFrame, around: int = 0) -> DataFrame:
-    """rows with `bucket`, one for each that [start - around, end + around) touches."""
-    cell = lambda c: F.floor(c / BUCKET)
-    return rows.withColumn("bucket", F.explode(F.sequence(cell(F.col("start") - around), cell(F.greatest(F.col("end") + around - 1, F.col("start") - around)))))
+def _buckets(rows: DataFrame) -> DataFrame:
+    """rows with `bucket`, one for each that [start, end) touches."""
+    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))))
 
 
 def lower_bound(k: Column, n: Column, z: float = BOUND) -> Column:
@@ -115,10 +134,12 @@ def ratings(found: DataFrame, docs: DataFrame, text_col: str, shortest: int = SH
     held = cut(held_entities(found), "entities")
     if held.isEmpty():
         return None
-    said = words_at(found.dropDuplicates(["t1", "t2"]).select("t1", "t2", "text"), shortest)
-    near = _buckets(held.withColumnsRenamed({"start": "s", "end": "e"}).withColumns({"start": F.col("s"), "end": F.col("e")}), context).select("kind", "value", "t1", "t2", "s", "e", "bucket")
-    meets = near.join(_buckets(said), ["t1", "t2", "bucket"]).filter((F.col("start") < F.col("e") + context) & (F.col("s") - context < F.col("end")) & ~((F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))))
-    both = meets.select("kind", "value", "term", "t1", "t2").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_both")).withColumn("h", F.xxhash64("term"))
+    # Pieces with an entity in reach, their terms, and of those the ones in an entity's context: all where the texts lie.
+    reach = lambda x, around: lambda e: (e["start"] < x["end"] + around) & (x["start"] < e["end"] + around)
+    rows = pieces(found.dropDuplicates(["t1", "t2"]).select("t1", "t2", "text", "spans")).withColumn("spans", F.filter("spans", reach(F.col("piece"), context))).filter(F.size("spans") > 0)
+    rows = rows.select("t1", "t2", "spans", F.explode(terms_in(F.col("piece"), shortest)).alias("x"))
+    rows = rows.select("t1", "t2", fold_ascii(F.col("x.text")).alias("term"), F.explode(F.filter("spans", lambda e: reach(F.col("x"), context)(e) & ~reach(F.col("x"), 0)(e))).alias("e"))
+    both = rows.select("e.kind", "e.value", "term", "t1", "t2").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_both")).withColumn("h", F.xxhash64("term"))
     both = cut(both, "pairs")
     candidates = cut(both.select("h").distinct(), "candidates")
     # Copies of a text count as one: each has its share of 1, so that terms are summed before they are shuffled.
