@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import ahead
 from .common import cut, new_dir, whole
 
 ROLL_BYTES = 32 << 20
-#: Payload bytes of a shard, about; and rows sampled by content for the splitters, about, whatever the input's size.
-SHARD_BYTES, SPLITTERS = 64 << 20, 4096
+#: Payload bytes of a shard, about: a SHARDS-th of all, within these bounds.
+LEAST_SHARD, MOST_SHARD, SHARDS = 4 << 20, 512 << 20, 1000
 #: Records of equal payloads of at least so many bytes become revisits.
 REVISIT_BYTES = 0
+#: Files that a task moves to their names.
+MOVES = 64
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -64,7 +67,7 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
     return groups.filter((F.col("copies") > 1) & (F.col("n") >= least))
 
 
-def write_warc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, revisit_bytes: int = REVISIT_BYTES) -> str:
+def write_warc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None, revisit_bytes: int = REVISIT_BYTES) -> str:
     """Writes a record per row to folder `to` (a URI all executors reach) and returns the manifest's URI.
 
     Null payloads and urls count as empty. Of records with equal payloads of at least revisit_bytes bytes, that with the smallest page id is a
@@ -74,20 +77,19 @@ def write_warc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole(F.col(html_col)).cast("binary").alias("payload"))
     slim = cut(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n"), F.xxhash64("page_id", "url").alias("nth")), "payloads")
-    # Splitters: rows whose hash falls under a bound, about SPLITTERS of them; the same rows whatever the partitioning.
-    count, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
-    shards = max(1, -(-total // shard_bytes), min(spark.sparkContext.defaultParallelism, -(-total // (4 << 20))))
-    shards = min(shards, SPLITTERS // 8)  # beyond, shards grow and files roll
-    every = max(1, count // SPLITTERS)
-    sample = sorted(r[0] for r in slim.filter((F.pmod(F.xxhash64("page_id", "digest"), F.lit(every)) == 0) & F.col("page_id").isNotNull()).select("page_id").distinct().collect())
-    cuts = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
+    total = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    shard_bytes = shard_bytes or min(MOST_SHARD, max(LEAST_SHARD, total // SHARDS))
+    # Cuts: the page id at which each shard_bytes bytes end, in the order of ids. They depend on the pages alone, and there is one for each shard.
+    placed = ahead(slim.filter("page_id IS NOT NULL").select("page_id", "digest", "nth", "n"), [F.col("page_id"), F.col("digest"), F.col("nth")], weight="n", name="before")
+    firsts = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min("page_id").alias("first")).collect()
+    cuts = sorted({r["first"] for r in firsts if r["shard"]})
     # Which rows refer to which: a row for each payload that repeats meets the slim rows, not the payloads; then slim marks meet the payloads, shard by shard.
     repeats = _revisits(slim, revisit_bytes).drop("copies")
     marks = slim.join(repeats, ["digest", "n"]).groupBy("page_id", "digest", "first").agg(F.count(F.lit(1)).alias("copies"))
     marks = marks.filter(~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("copies") > 1)).select("page_id", "digest", F.col("first").alias("refers_to"))
     tagged = rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.lit(None).cast(slim.schema["page_id"].dataType).alias("refers_to"), F.lit(1).alias("kind"), F.xxhash64("page_id", "url").alias("nth"))
     marked = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("nth"))
-    bounds = spark.sparkContext.broadcast(cuts)  # fewer than SPLITTERS
+    bounds = spark.sparkContext.broadcast(cuts)  # an id for each shard
 
     @F.arrow_udf("int")
     def place(ids: pa.Array) -> pa.Array:
@@ -143,8 +145,20 @@ def write_warc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str
     fs.create_dir(root, recursive=True)
     manifest = []
     for r in sorted(done, key=lambda r: r["name"]):
-        fs.move(r["temp"], r["name"])
         manifest.append({"file": r["name"].removeprefix(f"{root}/"), "records": r["records"], "bytes": r["bytes"], "sha256": r["sha256"]})
+
+    def move(batches) -> Iterator:
+        own, _ = filesystem(to)
+        for batch in batches:
+            for temp, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own.get_file_info(temp).type.name == "File":
+                    own.move(temp, name)
+                elif own.get_file_info(name).type.name != "File":  # else an attempt before this one has moved it
+                    raise FileNotFoundError(temp)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["moved"])
+
+    if done:
+        spark.createDataFrame([(r["temp"], r["name"]) for r in done], "temp string, name string").repartition(-(-len(done) // MOVES)).mapInArrow(move, "moved long").collect()
     if fs.get_file_info(f"{root}/_temporary-{job}").type.name == "Directory":
         fs.delete_dir(f"{root}/_temporary-{job}")
     with fs.open_output_stream(f"{root}/_manifest.tmp") as f:

@@ -288,3 +288,17 @@ def test_pipeline_filters_rows_by_id_and_text(spark, tmp_path):
     assert rows(kept) == sorted([(1, base), (None, "no copy of any"), (7, "clean words"), (8, f"so {leak} it goes"), (8, "clean too"), (None, leak), (9, "twice"), (None, ""), (None, "")], key=str)
     clean = P.drop_contaminated(spark, kept, str(tmp_path))
     assert rows(clean) == sorted([(1, base), (None, "no copy of any"), (7, "clean words"), (8, "clean too"), (9, "twice"), (None, ""), (None, "")], key=str)
+
+
+def test_warc_files_depend_on_the_pages_alone(spark, tmp_path):
+    """Neither the partitions of the input, nor those of shuffles, nor how ids are spread change a shard; shards are cut by bytes without a cap."""
+    df = spark.createDataFrame([(i * i % 5003, f"u{i}", "x" * (i % 97)) for i in range(3000)], "page_id long, url string, html string")
+    sums = []
+    for n, parts in ((1, "3"), (6, "11")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        warc.write_warc(df.repartition(n), f"file://{tmp_path}/{n}", shard_bytes=150)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        sums.append([(x["file"], x["sha256"], x["records"]) for x in json.load(open(f"{tmp_path}/{n}/manifest.json"))["files"]])
+    assert sums[0] == sums[1] and len(sums[0]) > 600 and sum(x[2] for x in sums[0]) == 3000
+    assert {x for x in os.listdir(f"{tmp_path}/1") if not x.startswith("part-")} == {"manifest.json"}
