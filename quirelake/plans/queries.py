@@ -18,6 +18,7 @@ from ..operators import duplicates as D
 from ..operators import ingest as I
 from ..operators import phrases as P
 from ..operators import retrieval as R
+from ..operators import settings as Z
 from ..operators import shingle_index as X
 from ..operators import store as S
 from ..sources import html as H
@@ -735,6 +736,27 @@ def lookup_answers(spark, d):
 
 # ------------------------------------------------------------------ store
 
+# Events stand in for changes of settings: each names a key (one in so many is unknown) and has a value of one of several forms.
+_KEYS = [*[k for keys in Z.RULES.values() for k in keys], "no.such.setting"]
+_FORMS = ["CAST(event_id % 7 - 2 AS VARCHAR)", "CAST(event_id % 30 // 10 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR)", "'true'", "'\"off\"'", """'["a","b"]'""", "'[]'", """'{"standalone":1}'""", "'null'", "'oops'"]
+_sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+_RULES = ", ".join("(" + ", ".join(map(_sql, (k, *Z.KINDS[name][:6]))) + ")" for name, keys in Z.RULES.items() for k in keys)
+
+
+@query(f"""WITH rl(key, kind, low, high, open_, whole, nullable) AS (VALUES {_RULES}), st AS (SELECT event_id, {_list(_KEYS)}[1 + event_id % {len(_KEYS)}] AS key, event_id // {len(_KEYS)} % {len(_FORMS)} AS f, [{', '.join(_FORMS)}][1 + f] AS value FROM events),
+pr AS (SELECT st.*, CASE WHEN kind IS NULL THEN 'unknown key' WHEN f = 8 THEN 'not JSON' WHEN nullable AND f = 7 THEN NULL
+  WHEN kind = 'number' THEN CASE WHEN f > 1 OR (whole AND f = 1) THEN 'wrong kind' WHEN coalesce(CAST(value AS DOUBLE) < low OR (open_ AND CAST(value AS DOUBLE) <= low) OR CAST(value AS DOUBLE) > high, false) THEN 'out of bounds' END
+  WHEN kind = 'boolean' THEN CASE WHEN f <> 2 THEN 'wrong kind' END WHEN kind IN ('string', 'choice') THEN CASE WHEN f <> 3 THEN 'wrong kind' END
+  WHEN kind = 'list' THEN CASE WHEN f NOT IN (4, 5) THEN 'wrong kind' WHEN f = 5 THEN 'out of bounds' END WHEN kind = 'map' THEN CASE WHEN f <> 6 THEN 'wrong kind' ELSE 'out of bounds' END
+  WHEN kind = 'weights' THEN CASE WHEN f <> 6 THEN 'wrong kind' END END AS problem FROM st LEFT JOIN rl USING (key)) SELECT event_id, key, value, problem FROM pr WHERE problem IS NOT NULL""")
+def setting_violations(spark, d):
+    n, i = len(_KEYS), F.col("event_id")
+    text = lambda c: c.cast("string")
+    forms = F.array(text(i % 7 - 2), F.concat(text(F.floor(i % 30 / 10)), F.lit("."), text(i % 10)), *map(F.lit, ("true", '"off"', '["a","b"]', "[]", '{"standalone":1}', "null", "oops")))
+    rows = V.read(spark, d, "events").select(i, F.get(F.array(*map(F.lit, _KEYS)), (i % n).cast("int")).alias("key"), F.get(forms, (F.floor(i / n) % len(_FORMS)).cast("int")).alias("value"))
+    return Z.violations(rows, Z.rule_table(spark))
+
+
 VERSIONS = "vs AS (SELECT source AS source_file, doc_id AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version FROM documents)"
 
 
