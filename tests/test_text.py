@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
@@ -61,3 +63,20 @@ def test_structures(spark):
     assert one(spark, "HR: Leave/2024!", T.id_prefix) == "HR_Leave_2024"
     assert one(spark, "{a} of {b}", lambda c: T.render(c, "x {a}", a=F.lit("1"))) == "x 1"
     assert one(spark, "see {a}", lambda c: T.render(c, "x {a}", a=F.lit("1"))) == "see 1"
+
+
+def test_one_pass(spark):
+    """Stripping, words and garbled texts as regular expressions tell them, each read once."""
+    blanks = "".join(map(chr, range(0x3100)))
+    blanks = "".join(c for c in blanks if re.fullmatch(r"\s", c) and c not in "\x1c\x1d\x1e\x1f")
+    texts = [None, "", " ", blanks, blanks + "é x" + blanks, "\x1fa\x1f", "a" * 60, "é" * 30 + " 1", "?! .. --", "𝒜 𝒷!", "a b　c\n\nd", " \x85 a", "a​b ﻿", *(f"{p}word{q} and,more{p}" for p in blanks[:9] for q in blanks[-9:])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    strip = F.regexp_replace("t", r"(?U)\A\s+|\s+\z", "")
+    words = F.size(F.filter(F.split(F.col("t"), r"(?U)\s+"), lambda w: w != ""))
+    n, letters, solid = F.char_length(strip), F.char_length(F.regexp_replace(strip, r"(?U)[^\p{L}\p{N}]", "")), F.char_length(F.regexp_replace(strip, r"(?U)\s", ""))
+    garbled = (n > 0) & ((letters / solid < 0.5) | ((n > 40) & (words < n / 25)) | (solid / words > 25))
+    ways = {"strip": (T.strip(F.col("t")), strip), "words": (T.word_count(F.col("t")), words), "garbled": (T.garbled(F.col("t")), garbled), "some": (T.has_text(F.col("t")), strip != "")}
+    rows = df.select("t", *[x.alias(f"{k}{j}") for k, pair in ways.items() for j, x in enumerate(pair)]).collect()
+    assert all(r[f"{k}0"] == r[f"{k}1"] for r in rows for k in ways) and {r.garbled0 for r in rows} == {None, True, False}
+    plan = df.select(T.garbled(F.col("t")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(", plan)) == 1 and plan.count("trim(") == 1
