@@ -253,6 +253,14 @@ def test_process(spark):
     assert "table_conversion_issue" in got[1].qa_flags and got[2].section_path == "Leave Rules > Questions" and got[2].text == "Q: May I go?\n\nA: Yes you may."
 
 
+def test_summary_makes_chunks_once(spark):
+    data = [block(0, "heading", "Rules", 1), block(1, "paragraph", "All staff get twenty one days of leave."), block(2, "table", "| a |", source="ocr", conf=0.5, bad=True)]
+    blocks, stems = spark.createDataFrame(data, BLOCKS), spark.createDataFrame([("d", "rules")], "document_id string, stem string")
+    got = I.ingestion_summary(I.process(blocks, stems), I.structure_status(blocks))
+    assert rows(got, "documents", "chunks", "ocr_pages", "digital_pages", "to_review") == [(1, 2, 1, 1, 1)] and got.head().flags == {"low_ocr_confidence": 1, "table_conversion_issue": 1}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeated_lines(spark):
     pages = spark.createDataFrame([("d", p, f"Acme Corp\nbody {chr(97 + p) * 3}\nmore\nthings\nto say\nhere\nPage {p}") for p in range(4)], "document_id string, page int, text string")
     assert ("d", "Acme Corp", 4) in rows(I.repeated_lines(pages), "document_id", "key", "n")
